@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitegrid.llm.leakage import leaked_items
 from sitegrid.llm.mixing import mix_report, mix_sources
 from sitegrid.llm.splitting import split_oversized
 from sitegrid.llm.tokens import token_sizes
@@ -12,6 +13,19 @@ from sitegrid.session import written
 from sitegrid.sources.tables import table
 
 
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder).select("doc_id", "item_id")
+
+
+def p7_items(spark: SparkSession, folder: str) -> DataFrame:
+    """The items that leaked, with the documents that hold them and the largest share."""
+    return _leaks(spark, folder).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.round(F.max("share"), 4).alias("largest_share"))
+
+
 def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
     sizes = written(token_sizes(table(spark, folder, "documents"), "text", ["doc_id", "source"]), "token-sizes")
     return mix_sources(sizes, table(spark, folder, "mix_targets"), "doc_id")
@@ -29,5 +43,5 @@ def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_oversized(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p8_mix, p8_shares, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p7_found, p7_items, p8_mix, p8_shares, p9_found, p9_pieces)}
 ORACLE: dict[str, str] = {}
