@@ -9,10 +9,29 @@ from sitegrid.llm.leakage import leaked_items
 from sitegrid.llm.mixing import mix_report, mix_sources
 from sitegrid.llm.splitting import split_oversized
 from sitegrid.llm.tokens import token_sizes
+from sitegrid.llm.topn import latest_of, top_n
 from sitegrid.session import written
 from sitegrid.sources.tables import table
 
 
+TOP = 5
+
+
+def _top_lines(spark: SparkSession, folder: str) -> DataFrame:
+    lines = table(spark, folder, "kopdes_province_top_products")
+    name = F.trim(F.regexp_replace(F.lower("province"), "[\\s\\u00a0]+", " "))
+    rows = latest_of(lines.withColumn("province", name), "line_id", "reported_at", ["pull_id", "province", "product", "value", "volume"])
+    return top_n(rows.withColumn("volume", F.nanvl("volume", F.lit(None).cast("double"))), ["pull_id", "province"], TOP, [("value", "desc"), ("volume", "desc")], "line_id")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _top_lines(spark, folder).select("pull_id", "line_id")
+
+
+def p5_top(spark: SparkSession, folder: str) -> DataFrame:
+    return _top_lines(spark, folder)
+
+
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
@@ -43,5 +62,16 @@ def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_oversized(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_items, p8_mix, p8_shares, p9_found, p9_pieces)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p5_found, p5_top, p7_found, p7_items, p8_mix, p8_shares, p9_found, p9_pieces)}
+_TOP = """
+with latest as (
+  select pull_id, trim(regexp_replace(lower(province), '[\\s\u00a0]+', ' ', 'g')) as province, value, volume, line_id from kopdes_province_top_products where line_id is not null
+  qualify row_number() over (partition by line_id order by reported_at desc nulls last, pull_id desc, value desc) = 1
+), ranked as (
+  select *, row_number() over (partition by pull_id, province order by value desc, volume desc nulls last, line_id) as rank from latest where value is not null and not isnan(value)
+)
+"""
+ORACLE: dict[str, str] = {
+    "p5_found": _TOP + "select pull_id, line_id from ranked where rank <= 5",
+    "p5_top": _TOP + "select pull_id, province, line_id, value, volume, cast(rank as integer) as rank from ranked where rank <= 5",
+}
