@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitegrid.llm.leakage import leaked_items
+from sitegrid.llm.matching import match_records, owner_mentions, record_mentions
 from sitegrid.llm.mixing import mix_report, mix_sources
 from sitegrid.llm.splitting import split_oversized
 from sitegrid.llm.tokens import token_sizes
@@ -14,9 +15,21 @@ from sitegrid.session import written
 from sitegrid.sources.tables import table
 
 
+#: A pair is a match from this marginal probability on.
+LEAST_CONFIDENCE = 0.5
 TOP = 5
 
 
+def p1_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Every candidate pair with its marginal probability of a match."""
+    found = match_records(owner_mentions(table(spark, folder, "cemetery_candidates")), record_mentions(table(spark, folder, "land_assets")))
+    return found.select(F.col("owner").alias("cooperative_id"), F.col("record").alias("asset_id"), "confidence")
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p1_matches(spark, folder).where(F.col("confidence") >= LEAST_CONFIDENCE).select("cooperative_id", "asset_id")
+
+
 def _top_lines(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "kopdes_province_top_products")
     name = F.trim(F.regexp_replace(F.lower("province"), "[\\s\\u00a0]+", " "))
@@ -62,7 +75,7 @@ def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_oversized(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_top, p7_found, p7_items, p8_mix, p8_shares, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_matches, p5_found, p5_top, p7_found, p7_items, p8_mix, p8_shares, p9_found, p9_pieces)}
 _TOP = """
 with latest as (
   select pull_id, trim(regexp_replace(lower(province), '[\\s\u00a0]+', ' ', 'g')) as province, value, volume, line_id from kopdes_province_top_products where line_id is not null
