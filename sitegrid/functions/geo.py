@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Radius of the sphere in metres; axes of the WGS84 spheroid.
 EARTH_M = 6_371_000.0
@@ -40,7 +41,7 @@ def valid_point(lat: Column, lon: Column) -> Column:
     return F.coalesce(lat.between(-90, 90) & lon.between(-180, 180), F.lit(False))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def geodesic_m(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Geodesic distance on WGS84 by Vincenty's inverse formula (1975).
 

@@ -27,16 +27,17 @@ def hot_keys(df: DataFrame, keys: list[str], least_rows: int = LEAST_ROWS) -> li
     return [tuple(r[k] for k in keys) for r in large if r["__n"] * MOST_HOT >= total]
 
 
-def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", salts: int = 32, least_rows: int = LEAST_ROWS) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", salts: int = 32, least_rows: int = LEAST_ROWS, hot: list[tuple] | None = None) -> DataFrame:
     """``left`` joined to ``right`` where ``left`` may hold a third of its rows under one key.
 
     Rows of ``left`` under a hot key are spread over ``salts`` tasks by a hash of the whole row (so a retried task salts
     alike; exact copies of a row should be united before); the rows of ``right`` under that key are repeated for each.
-    ``how``: inner, left, left_semi or left_anti. Result rows are those of the plain join.
+    ``how``: inner, left, left_semi or left_anti. Result rows are those of the plain join. ``hot``: the hot keys, where
+    they are known already.
     """
     if how not in {"inner", "left", "left_semi", "left_anti"}:
         raise ValueError(f"skew_join can't do {how}")
-    hot = hot_keys(left, on, least_rows)
+    hot = hot_keys(left, on, least_rows) if hot is None else hot
     if not hot:
         return left.join(right, on, how)
     is_hot = reduce(lambda a, b: a | b, [reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.lit(v)) for k, v in zip(on, key, strict=True)]) for key in hot])
