@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("problems",)
+MODULES = ("problems", "profiles", "rollups")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
