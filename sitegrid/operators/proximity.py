@@ -15,10 +15,9 @@ LEVELS = 17
 
 
 def _columns_in(row: Column, height: float) -> Column:
-    """Cells of a row of the grid: cells of its edge nearer the equator are at least ``height`` degrees wide there."""
-    low, high = F.abs(row * height), F.abs((row + 1) * height)
-    widest = F.cos(F.radians(F.greatest(F.lit(0.0), F.least(F.lit(90.0), F.greatest(low, high)))))
-    return F.greatest(F.lit(1), F.floor(360 / height * widest)).cast("long")
+    """Cells of a row of the grid: as many as are ``height`` equatorial degrees wide at its edge nearer the pole, one at least."""
+    edge = F.least(F.lit(90.0), F.greatest(F.abs(row * height), F.abs((row + 1) * height)))
+    return F.greatest(F.lit(1), F.floor(360 / height * F.cos(F.radians(edge)))).cast("long")
 
 
 def _row(lat: Column, height: float) -> Column:
