@@ -21,10 +21,10 @@ def read_csv_checked(spark: SparkSession, path: str, schema: T.StructType, heade
     Lines are parsed whole: with the CSV reader, a row is only checked in the columns a query asks for. Empty lines and
     the ``header`` line are left out. A field may not hold a line break.
     """
-    marked = T.StructType([*schema.fields, T.StructField("__line", T.StringType())])
     lines = spark.read.text(path).where(F.trim("value") != "")
     lines = lines.where(F.col("value") != header) if header else lines
-    parsed = lines.select(F.from_csv("value", marked.simpleString()[len("struct<") : -1].replace(":", " ").replace("__line string", "`__line` string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__line"}).alias("r")).select("r.*")
+    ddl = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields], "`__line` string"])
+    parsed = lines.select(F.from_csv("value", ddl, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__line"}).alias("r")).select("r.*")
     damaged = F.col("__line").isNotNull()
     return parsed.where(~damaged).drop("__line"), parsed.where(damaged).select(F.col("__line").alias("line"))
 
