@@ -20,12 +20,13 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius:
     """Great-circle distance; null where a coordinate is."""
     dlat, dlon = F.radians(lat2 - lat1) / 2, F.radians(lon2 - lon1) / 2
     h = F.pow(F.sin(dlat), F.lit(2)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlon), F.lit(2))
-    return F.asin(F.sqrt(F.least(h, F.lit(1.0)))) * (2 * radius)
+    return F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h))) * (2 * radius)  # least() would skip a null
 
 
 def chord_to_arc_m(chord: Column, radius: float = EARTH_M) -> Column:
     """The arc over a chord of the unit sphere."""
-    return F.asin(F.least(chord / 2, F.lit(1.0))) * (2 * radius)
+    half = chord / 2
+    return F.asin(F.when(half > 1, 1.0).otherwise(half)) * (2 * radius)
 
 
 def degree_window(lat: Column, metres: Column | float, radius: float = EARTH_M) -> tuple[Column, Column]:
