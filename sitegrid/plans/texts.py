@@ -34,9 +34,9 @@ def area_search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @plans.query("""with f as (select c_custkey, c_name, c_acctbal, c_mktsegment from customer where contains(lower(c_name), 'customer') and contains(lower(c_name), '1') and c_acctbal > 0 and c_mktsegment in ('BUILDING', 'MACHINERY'))
-select c_custkey, c_name, c_acctbal, c_mktsegment from f order by c_mktsegment, c_acctbal desc nulls last, c_custkey limit 25 offset 25""")
+select c_custkey, c_name, c_acctbal, c_mktsegment from f order by c_mktsegment, c_acctbal desc nulls last, c_custkey limit 25 offset (select 25 * least(1, greatest(0, (count(*) + 24) // 25 - 1)) from f)""")
 def table_filter_sort_page(spark: SparkSession, folder: str) -> DataFrame:
-    """The second page of filtered, searched and sorted rows."""
+    """The second page of filtered, searched and sorted rows (the first where there is one only)."""
     filters = {"positive": F.col("c_acctbal") > 0, "segments": F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), "negative": F.col("c_acctbal") < 0}
     rows = search.filtered(table(spark, folder, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), filters, ["positive", "segments"])
     return search.page_of(rows, [F.asc_nulls_last("c_mktsegment"), F.desc_nulls_last("c_acctbal"), F.asc("c_custkey")], 2, 25, ("c_name", "1 customer"))[0]
