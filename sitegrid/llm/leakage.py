@@ -231,32 +231,52 @@ def _in_runs(matched: np.ndarray) -> np.ndarray:
     return out
 
 
+def _parts(texts: list[str | None], longest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Streams of the texts, with their numbers; a very long one in windows that overlap by some items' length."""
+    for n, t in enumerate(texts):
+        codes = stream(t) if t else np.empty(0, np.uint8)
+        overlap = 4 * longest + BAND
+        if len(codes) <= TOGETHER + overlap:
+            yield n, codes
+            continue
+        for start in range(0, len(codes) - overlap, TOGETHER):
+            yield n, codes[start : start + TOGETHER + overlap]
+
+
+def _together(parts: Iterator[tuple[int, np.ndarray]]) -> Iterator[list[tuple[int, np.ndarray]]]:
+    held: list[tuple[int, np.ndarray]] = []
+    size = 0
+    for part in parts:
+        if held and size + len(part[1]) > TOGETHER:
+            yield held
+            held, size = [], 0
+        held.append(part)
+        size += len(part[1])
+    if held:
+        yield held
+
+
 def leaks_in(texts: list[str | None], items: Items) -> list[tuple[int, int, float]]:
     """(number of the text, item id, share of the item's words found) with a share of LEAST_SHARE or more."""
-    found: list[tuple[int, int, float]] = []
-    start = 0
-    while start < len(texts):
-        stop, size = start, 0
-        while stop < len(texts) and (size == 0 or size + len(texts[stop] or "") <= TOGETHER):
-            size += len(texts[stop] or "")
-            stop += 1
-        streams = [stream(t) if t else np.empty(0, np.uint8) for t in texts[start:stop]]
-        ends = np.cumsum([len(s) for s in streams])
-        jobs = _regions(_hits(np.concatenate(streams), ends, items), items)
-        covered: dict[tuple[int, int], np.ndarray] = {}
+    if not items.ids:
+        return []
+    covered: dict[tuple[int, int], np.ndarray] = {}
+    for group in _together(_parts(texts, max(len(c) for c in items.codes))):
+        ends = np.cumsum([len(codes) for _, codes in group])
+        jobs = _regions(_hits(np.concatenate([codes for _, codes in group]), ends, items), items)
         jobs.sort(key=lambda j: j[3] - j[2])
         for low in range(0, len(jobs), JOBS):
             some = jobs[low : low + JOBS]
-            for (t, i, _, _), m in zip(some, _align([(items.codes[i], streams[t], a, b) for t, i, a, b in some]), strict=True):
-                runs = _in_runs(m)
-                covered[t, i] = covered[t, i] | runs if (t, i) in covered else runs
-        for (t, i), m in sorted(covered.items()):
-            upto = np.concatenate([[0], np.cumsum(m)])
-            a, b = items.words[i][:-1], items.words[i][1:]
-            share = float(((upto[b] - upto[a]) == b - a).mean())
-            if share >= LEAST_SHARE:
-                found.append((start + t, items.ids[i], share))
-        start = stop
+            for (g, i, _, _), m in zip(some, _align([(items.codes[i], group[g][1], a, b) for g, i, a, b in some]), strict=True):
+                runs, spot = _in_runs(m), (group[g][0], i)
+                covered[spot] = covered[spot] | runs if spot in covered else runs
+    found: list[tuple[int, int, float]] = []
+    for (t, i), m in sorted(covered.items()):
+        upto = np.concatenate([[0], np.cumsum(m)])
+        a, b = items.words[i][:-1], items.words[i][1:]
+        share = float(((upto[b] - upto[a]) == b - a).mean())
+        if share >= LEAST_SHARE:
+            found.append((t, items.ids[i], share))
     return found
 
 
@@ -288,7 +308,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, key: str = "doc_id", te
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             known = index.value
             for b in batches:
-                found = leaks_in(b.column("__text").to_pylist(), known) if known.ids else []
+                found = leaks_in(b.column("__text").to_pylist(), known)
                 yield pa.RecordBatch.from_arrays([b.column("__key").take(pa.array([f[0] for f in found], pa.int64())), pa.array([f[1] for f in found]), pa.array([f[2] for f in found], pa.float64())] if found else [b.column("__key")[:0], pa.array([], pa.int64()), pa.array([], pa.float64())], names=["__key", "__item", "share"])
 
         part = documents.select(F.col(key).alias("__key"), F.col(text).alias("__text")).where(F.length("__text") > 0).mapInArrow(search, f"__key {kinds[0]}, __item {kinds[1]}, share double")

@@ -159,6 +159,14 @@ def test_planted_leaks():
     assert found(texts) == {(n, 1) for n in range(len(texts))}
 
 
+def test_very_long_texts_are_searched_in_windows(monkeypatch):
+    monkeypatch.setattr(leakage, "TOGETHER", 3_000)
+    rng = random.Random(5)
+    body = ITEMS[0][1].split(". ", 1)[1]
+    for words in range(0, 1400, 35):
+        assert found([f"{prose(rng, words)} {body} {prose(rng, 1400 - words)}", body]) == {(0, 1), (1, 1)}
+
+
 def test_no_leaks():
     rng = random.Random(2)
     body = ITEMS[0][1].split(". ", 1)[1].split()
