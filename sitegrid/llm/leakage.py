@@ -175,11 +175,8 @@ def _regions(hits: tuple[np.ndarray, ...], items: Items) -> list[tuple[int, int,
         p, b = code // n_bands, code % n_bands - 1
         if p in good:
             t, i = divmod(p, n_items)
-            low, high = b * BAND - shift, (b + 2) * BAND - shift - 1
-            if jobs and jobs[-1][:2] == (t, i) and low <= jobs[-1][3] + 1:
-                jobs[-1] = (t, i, jobs[-1][2], high)
-            else:
-                jobs.append((t, i, low, high))
+            # each band by itself: a path across several would have to pay for what was put between two stretches
+            jobs.append((t, i, b * BAND - shift, (b + 2) * BAND - shift - 1))
     return jobs
 
 
@@ -264,7 +261,6 @@ def leaks_in(texts: list[str | None], items: Items) -> list[tuple[int, int, floa
     for group in _together(_parts(texts, max(len(c) for c in items.codes))):
         ends = np.cumsum([len(codes) for _, codes in group])
         jobs = _regions(_hits(np.concatenate([codes for _, codes in group]), ends, items), items)
-        jobs.sort(key=lambda j: j[3] - j[2])
         for low in range(0, len(jobs), JOBS):
             some = jobs[low : low + JOBS]
             for (g, i, _, _), m in zip(some, _align([(items.codes[i], group[g][1], a, b) for g, i, a, b in some]), strict=True):
