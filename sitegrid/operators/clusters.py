@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitegrid.operators.grid import disk
-from sitegrid.operators.skew import skew_join
+from sitegrid.operators.skew import hot_keys, skew_join
 from sitegrid.session import dropped, written
 
 MOST_ROUNDS = 60
@@ -42,7 +42,8 @@ def components(cells: DataFrame, k: int = 1) -> DataFrame:
     for r in range(1, MOST_ROUNDS + 1):
         heard = edges.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("label").alias("heard"))
         least = labels.join(heard, "id", "left").select("id", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
-        jump = skew_join(least, least.select(F.col("id").alias("label"), F.col("label").alias("far")), ["label"], "left")
+        # a large component's label is hot: which ones are is read from the round before
+        jump = skew_join(least, least.select(F.col("id").alias("label"), F.col("label").alias("far")), ["label"], "left", hot=hot_keys(labels, ["label"]))
         following = written(jump.select("id", "old", F.least("label", "far").alias("label")), f"labels-{r}")
         dropped(labels)
         path = following._sitegrid_path
