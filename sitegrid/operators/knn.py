@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +18,8 @@ from sitegrid.session import written
 
 #: Widths of the search, each four times the one before, from one that suits dense places to half the globe.
 FIRST_M, GROWTH = 2_000.0, 4.0
+#: Queries (vectors) that are broadcast together.
+QUERY_BLOCK = 4096
 HALF_GLOBE_M = math.pi * 6_371_000.0
 
 
@@ -45,33 +51,36 @@ def nearest(points: DataFrame, targets: DataFrame, within_m: float = HALF_GLOBE_
     return reduce(DataFrame.unionByName, found)
 
 
-def nearest_vectors(vectors: DataFrame, cells: int = 8) -> DataFrame:
-    """``vec_id, nearest_id, arc``: each unit vector's nearest other one, as the angle between them (radians).
+def nearest_vectors(queries: DataFrame, vectors: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
+    """``vec_id, nearest_id, arc``: for each query the nearest vector of another id, as the angle between them (radians).
 
-    Exact: blocks of vectors are joined with blocks (cells by cells tasks), each pair of blocks is one product of
-    matrices in Arrow, and only each row's best of a block leaves it. Null and zero vectors take no part.
+    Exact: a stated set of queries is searched against all unit vectors. Queries are read in blocks, each broadcast and
+    passed over the vectors once; a batch is one product of matrices and only each query's best of it is shuffled.
+    Null and empty vectors take no part; ties go to the least id.
     """
-    import numpy as np
-    import pyarrow as pa
-
-    rows = vectors.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).select("vec_id", F.pmod(F.xxhash64("vec_id"), F.lit(cells)).cast("int").alias("b"), "embedding")
-    left = rows.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
-    right = rows.select("vec_id", F.col("b").alias("c"), "embedding").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
-
-    def best(a: pa.Table, b: pa.Table) -> pa.Table:
-        ia, ib = a.column("vec_id").to_numpy(), b.column("vec_id").to_numpy()
-        if not len(ia) or not len(ib):
-            return pa.table({"vec_id": pa.array([], pa.int64()), "nearest_id": pa.array([], pa.int64()), "dot": pa.array([], pa.float64())})
-        va, vb = (np.array(t.column("embedding").to_pylist(), float) for t in (a, b))
-        order = np.argsort(ib)
-        dots = np.round(va @ vb[order].T, 9)
-        dots[ia[:, None] == ib[order][None, :]] = -2
-        at = dots.argmax(1)
-        return pa.table({"vec_id": ia, "nearest_id": ib[order][at], "dot": dots[np.arange(len(ia)), at]})
-
-    pairs = left.groupBy("b", "c").cogroup(right.groupBy("b", "c")).applyInArrow(best, "vec_id long, nearest_id long, dot double")
-    one = pairs.where("dot > -2").groupBy("vec_id").agg(F.min(F.struct((-F.col("dot")).alias("d"), "nearest_id")).alias("m"))
-    return one.select("vec_id", "m.nearest_id", F.round(F.acos(F.least(F.greatest(-F.col("m.d"), F.lit(-1.0)), F.lit(1.0))), 4).alias("arc"))
+    usable = F.col("embedding").isNotNull() & (F.size("embedding") > 0)
+    rows = queries.where(usable).select("vec_id", "embedding").distinct().orderBy("vec_id").toLocalIterator()
+    context, out = vectors.sparkSession.sparkContext, None
+    while held := list(islice(rows, block)):
+        shared = context.broadcast((np.array([r["vec_id"] for r in held], np.int64), np.array([r["embedding"] for r in held], float)))
+
+        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, matrix = shared.value
+            for b in batches:
+                own = b.column("vec_id").to_numpy()
+                order = np.argsort(own, kind="stable")
+                dots = np.round(matrix @ np.array(b.column("embedding").to_pylist(), float)[order].T, 9)
+                dots[ids[:, None] == own[order][None, :]] = -2
+                at = dots.argmax(1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(own[order][at]), pa.array(dots[np.arange(len(ids)), at])], names=["vec_id", "nearest_id", "dot"])
+
+        found = vectors.where(usable).select("vec_id", "embedding").mapInArrow(best, "vec_id long, nearest_id long, dot double")
+        out = found if out is None else out.union(found)
+    if out is None:
+        return vectors.sparkSession.createDataFrame([], "vec_id long, nearest_id long, arc double")
+    one = out.where("dot > -2").groupBy("vec_id").agg(F.min(F.struct((-F.col("dot")).alias("d"), "nearest_id")).alias("m"))
+    dot = -F.col("m.d")
+    return one.select("vec_id", "m.nearest_id", F.round(F.acos(F.when(dot > 1, 1.0).when(dot < -1, -1.0).otherwise(dot)), 4).alias("arc"))
 
 
 def cells_needed(metres: float, base_e6: int) -> int:

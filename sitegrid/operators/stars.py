@@ -52,7 +52,8 @@ def cascade_match(left: DataFrame, right: DataFrame, parent: str, left_name: str
     """``left`` with the ``keep`` of the right row of the same parent, matched exactly, else by the most similar name.
 
     Names are compared folded; a similar name must reach ``cutoff`` (1 - Levenshtein distance / longer length); ties go
-    to the lesser name. Names are never compared across parents, and exactly matched rows aren't compared again.
+    to the lesser name. Names are never compared across parents, and exactly matched rows aren't compared again; a parent's
+    children are an administrative list (hundreds at most), so a typed name meets no more than that.
     Adds ``match`` (exact, similar or null) and ``similarity``. ``left`` needs distinct (parent, name) pairs only:
     names are matched once each, whatever their frequency.
     """

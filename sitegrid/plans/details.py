@@ -103,12 +103,18 @@ def cartogram_layout(spark: SparkSession, folder: str) -> DataFrame:
     return t.select("province_id", F.floor(at / 8).alias("row"), (at % 8).alias("col"), "n")
 
 
-@plans.query("with s as (select s_suppkey, s_name, case when s_suppkey % 9 = 0 then null else s_acctbal end v from supplier) select s_suppkey, row_number() over (order by v nulls last, s_suppkey) as up, row_number() over (order by v desc nulls last, s_suppkey) as down from s order by up limit 50")
+@plans.query("""with s as (select s_suppkey, case when s_suppkey % 9 = 0 then null else s_acctbal end v from supplier), r as (select s_suppkey, row_number() over (order by v nulls last, s_suppkey) up, row_number() over (order by v desc nulls last, s_suppkey) down from s)
+select 'up' as direction, up as place, s_suppkey from r where up <= 95 union all select 'down', down, s_suppkey from r where down <= 95""")
 def nulls_last_sort(spark: SparkSession, folder: str) -> DataFrame:
-    """Nulls come last in both directions."""
+    """The first 95 rows in both directions: nulls come last in either. Only those rows are numbered."""
     s = table(spark, folder, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 9 != 0, F.col("s_acctbal")).alias("v"))
-    w = lambda *o: F.row_number().over(Window.partitionBy().orderBy(*o)).cast("bigint")
-    return s.select("s_suppkey", w(F.asc_nulls_last("v"), "s_suppkey").alias("up"), w(F.desc_nulls_last("v"), "s_suppkey").alias("down")).orderBy("up").limit(50)
+    out = None
+    for direction, first in (("up", F.asc_nulls_last("v")), ("down", F.desc_nulls_last("v"))):
+        head = s.orderBy(first, "s_suppkey").limit(95)
+        place = F.row_number().over(Window.partitionBy().orderBy(first, "s_suppkey")).cast("bigint")
+        one = head.select(F.lit(direction).alias("direction"), place.alias("place"), "s_suppkey")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @plans.query("select osm_id as id, name, 'shop' as key, lower(class) as class from (select distinct osm_id, name, class from landuse_features where osm_type = 'node' and name is not null)")
@@ -116,7 +122,7 @@ def overpass_elements(spark: SparkSession, folder: str) -> DataFrame:
     """Elements of a JSON answer with tags as a map, made rows."""
     nodes = table(spark, folder, "landuse_features").where("osm_type = 'node' and name is not null").select("osm_id", "name", "class").distinct()
     element = F.struct(F.lit("node").alias("type"), F.col("osm_id").alias("id"), F.create_map(F.lit("name"), F.col("name"), F.lit("shop"), F.lower("class")).alias("tags"))
-    answers = nodes.groupBy(F.pmod("osm_id", F.lit(32)).alias("part")).agg(F.to_json(F.struct(F.collect_list(element).alias("elements"))).alias("json"))
+    answers = nodes.groupBy(F.floor(F.col("osm_id") / 64).alias("part")).agg(F.to_json(F.struct(F.collect_list(element).alias("elements"))).alias("json"))
     parsed = answers.select(F.explode(F.from_json("json", "elements array<struct<type: string, id: bigint, tags: map<string, string>>>")["elements"]).alias("e"))
     return parsed.select("e.id", F.col("e.tags")["name"].alias("name"), F.lit("shop").alias("key"), F.col("e.tags")["shop"].alias("class"))
 

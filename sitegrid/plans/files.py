@@ -45,11 +45,11 @@ def csv_damaged_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 @plans.query("select r_name as provinces_name, n_name as districts_name, c_custkey as id from region join nation on r_regionkey = n_regionkey join customer on n_nationkey = c_nationkey")
 def nested_lists(spark: SparkSession, folder: str) -> DataFrame:
-    """A document of provinces that hold districts that hold entities, made flat."""
-    c = table(spark, folder, "customer").groupBy("c_nationkey").agg(F.collect_list(F.struct(F.col("c_custkey").alias("id"))).alias("members"))
-    n = table(spark, folder, "nation").join(c, F.col("n_nationkey") == F.col("c_nationkey")).groupBy("n_regionkey").agg(F.collect_list(F.struct(F.col("n_name").alias("name"), "members")).alias("districts"))
-    document = table(spark, folder, "region").join(n, F.col("r_regionkey") == F.col("n_regionkey")).agg(F.collect_list(F.struct(F.col("r_name").alias("name"), "districts")).alias("provinces"))
-    return files.flatten_lists(document, [("provinces", "name"), ("districts", "name"), ("members", "")], ["id"])
+    """Documents of provinces that hold districts that hold entities, made flat; a document holds 64 ids at most."""
+    c = table(spark, folder, "customer").groupBy(F.floor(F.col("c_custkey") / 64).alias("chunk"), "c_nationkey").agg(F.collect_list(F.struct(F.col("c_custkey").alias("id"))).alias("members"))
+    n = c.join(table(spark, folder, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).groupBy("chunk", "n_regionkey").agg(F.collect_list(F.struct(F.col("n_name").alias("name"), "members")).alias("districts"))
+    documents = n.join(table(spark, folder, "region"), F.col("r_regionkey") == F.col("n_regionkey")).groupBy("chunk").agg(F.collect_list(F.struct(F.col("r_name").alias("name"), "districts")).alias("provinces"))
+    return files.flatten_lists(documents, [("provinces", "name"), ("districts", "name"), ("members", "")], ["id"])
 
 
 @plans.query("select r_name as region, n_name as nation, cast(n_nationkey as bigint) as value from region join nation on r_regionkey = n_regionkey")
@@ -81,9 +81,9 @@ def geojson_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     nodes = table(spark, folder, "landuse_features").where("osm_type = 'node'").select("osm_id", "osm_type", "latitude", "longitude").distinct()
     feature = sinks.feature_json("Point", F.array(*[F.floor(F.col(c) * 1_000_000) / 1_000_000 for c in ("longitude", "latitude")]), ["osm_id", "osm_type"])
     path = _place(spark, "features")
-    # one collection for each of 16 parts of the rows, so no task holds them all
-    parts = nodes.select(F.pmod("osm_id", F.lit(16)).alias("part"), feature.alias("f")).groupBy("part").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.concat_ws(",", F.collect_list("f")), F.lit("]}")).alias("value"))
-    parts.repartition("part").select("value").write.text(path, lineSep="\n")
+    # a collection holds 64 ids at most, one collection a line
+    parts = nodes.select(F.floor(F.col("osm_id") / 64).alias("part"), feature.alias("f")).groupBy("part").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.concat_ws(",", F.collect_list("f")), F.lit("]}")).alias("value"))
+    parts.select("value").write.text(path, lineSep="\n")
     raw = spark.read.schema("features array<struct<properties: struct<osm_id: bigint, osm_type: string>, geometry: struct<type: string, coordinates: array<double>>>>").json(path)
     return raw.select(F.explode("features").alias("f")).select("f.properties.*", F.col("f.geometry.coordinates")[1].alias("lat"), F.col("f.geometry.coordinates")[0].alias("lon"))
 
