@@ -15,7 +15,8 @@ from sitegrid.llm.tokens import VOCABULARY, tokenizer_of
 LIMIT, OVERLAP = 1000, 100
 #: Tokens of texts whose successor tables are squared together.
 TOGETHER = 1_000_000
-KINDS = ("character", "word", "sentence or line", "end")
+#: What a piece ends at, from the least natural to the text's own end.
+KINDS = ("character", "word", "clause", "sentence or line", "end")
 #: Abbreviations of places, titles and numbers after which a full stop ends no sentence.
 ABBREVIATIONS = "kab kec kel no rp jl dr ir hj dll mr mrs st".split()
 _ENDS = re.compile(
@@ -23,6 +24,8 @@ _ENDS = re.compile(
 )
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_COMMA = np.zeros(256, bool)
+_COMMA[[ord(c) for c in ",;:"]] = True
 
 
 def _latest(marks: np.ndarray) -> np.ndarray:
@@ -30,21 +33,23 @@ def _latest(marks: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(marks, np.arange(len(marks), dtype=np.int32), -1))
 
 
-def successors(natural: np.ndarray, word: np.ndarray, char: np.ndarray, first: np.ndarray, last: np.ndarray, limit: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
+def successors(levels: list[np.ndarray], first: np.ndarray, last: np.ndarray, limit: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
     """For every place (a cut, as a number of tokens) where the piece that starts ``overlap`` before it starts and ends.
 
-    Places of several texts stand one after the other; ``first`` and ``last`` give each place's text. Each place is
-    joined to the farthest legal one: the last sentence or line end within ``limit`` tokens of the start; where there is
-    none beyond the place itself, the last word's end, else the last whole character. A start in the midst of a
-    character moves back to its beginning. A text's last place is its own successor.
+    Places of several texts stand one after the other; ``first`` and ``last`` give each place's text. ``levels`` mark
+    natural places from the most natural kind on, the last one all places between characters. Each place is joined to
+    the farthest legal one: the last of the most natural kind within ``limit`` tokens of the start that lies beyond the
+    place itself and, in the first piece, beyond what the next one shares with it. A start in the midst of a character
+    moves back to its beginning. A text's last place is its own successor.
     """
-    here = np.arange(len(natural), dtype=np.int32)
-    at_char = _latest(char)
+    here = np.arange(len(first), dtype=np.int32)
+    at_char = _latest(levels[-1])
     start = np.where(here == first, here, at_char[np.maximum(here - overlap, first)])
     reach = np.minimum(start + limit, last)
     end = np.where(reach == last, last, -1)
-    for marks in (_latest(natural), _latest(word), at_char):
-        end = np.where(end > here, end, marks[reach])
+    least = np.maximum(here, first + overlap)
+    for marks in levels:
+        end = np.where(end > least, end, _latest(marks)[reach])
     return start, np.where(here == last, last, np.maximum(end, np.minimum(here + 1, last))).astype(np.int32)
 
 
@@ -62,20 +67,22 @@ def greedy_cuts(after: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
         after = after[after]
 
 
-def _places(ids: np.ndarray, data: bytes, bytes_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Byte offset of each place between tokens, and whether it ends a sentence or line, a word, a character."""
+def _places(ids: np.ndarray, data: bytes, bytes_of: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Byte offset of each place between tokens, and whether it ends a sentence or line, a clause, a word, a character."""
     offset = np.zeros(len(ids) + 1, np.int64)
     np.cumsum(bytes_of[ids], out=offset[1:])
     raw = np.frombuffer(data, np.uint8)
     inner = offset[1:-1]
-    char, word, natural = np.ones(len(offset), bool), np.ones(len(offset), bool), np.zeros(len(offset), bool)
+    natural, clause, word, char = np.zeros(len(offset), bool), *(np.ones(len(offset), bool) for _ in range(3))
     char[1:-1] = (raw[inner] & 0xC0) != 0x80
-    word[1:-1] = (_SPACE[raw[inner]] | _SPACE[raw[inner - 1]]) & char[1:-1]
+    space = _SPACE[raw[inner]]
+    word[1:-1] = (space | _SPACE[raw[inner - 1]]) & char[1:-1]
+    clause[1:-1] = space & _COMMA[raw[inner - 1]]
     ends = np.fromiter((m.end() for m in _ENDS.finditer(data)), np.int64)
     at = np.searchsorted(offset, ends)
     natural[at[offset[at] == ends]] = True
     natural[0] = True
-    return offset, natural & char, word, char
+    return offset, natural & char, clause, word, char
 
 
 def split_texts(rows: list[tuple[int, str]], tokenizer, limit: int, overlap: int) -> Iterator[dict[str, np.ndarray | list]]:
@@ -100,15 +107,15 @@ def _split(held: list[tuple], limit: int, overlap: int) -> dict[str, np.ndarray
     base = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int32)
     end = (base + lengths - 1).astype(np.int32)
     owner = np.repeat(np.arange(len(held), dtype=np.int32), lengths)
-    offset, natural, word, char = (np.concatenate([h[i] for h in held]) for i in range(2, 6))
-    start, after = successors(natural, word, char, base[owner], end[owner], limit, overlap)
+    offset, *levels = (np.concatenate([h[i] for h in held]) for i in range(2, 7))
+    start, after = successors(levels, base[owner], end[owner], limit, overlap)
     cuts = greedy_cuts(after, base, end)
     inside = cuts[cuts != end[owner[cuts]]]  # each is the end of the piece before and leads to the next piece's end
     whose, stop = owner[inside], after[inside]
     begun = start[inside]
     first_of = np.searchsorted(whose, np.arange(len(held)))
     pieces = np.bincount(whose, minlength=len(held))
-    kind = np.where(stop == end[whose], 3, np.where(natural[stop], 2, np.where(word[stop], 1, 0)))
+    kind = np.where(stop == end[whose], 4, np.select([m[stop] for m in levels[:3]], [3, 2, 1], 0))
     chars_before = [np.concatenate([[0], np.cumsum((np.frombuffer(h[1], np.uint8) & 0xC0) != 0x80, dtype=np.int64)]) for h in held]
     return {
         "row": np.array([held[w][0] for w in whose], np.int64), "piece_no": np.arange(len(inside)) - first_of[whose], "n_pieces": pieces[whose],

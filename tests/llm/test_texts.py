@@ -40,14 +40,15 @@ def test_sizes(spark, tokenizer):
 def greedy(tokenizer, text, limit, overlap):
     """The walk from cut to cut, one after the other."""
     ids = np.array(tokenizer.encode(text))
-    _, natural, word, char = splitting._places(ids, text.encode(), tokenizer.bytes_of)
+    _, *levels = splitting._places(ids, text.encode(), tokenizer.bytes_of)
+    char = levels[-1]
     n, cut, out = len(ids), 0, []
     while cut < n:
         start = 0 if cut == 0 else max(p for p in range(cut - overlap + 1) if char[p])
         reach = min(start + limit, n)
         end = n if reach == n else -1
-        for marks in (natural, word, char):
-            if end <= cut:
+        for marks in levels:
+            if end <= max(cut, overlap):
                 end = max(p for p in range(reach + 1) if marks[p])
         out.append((start, end))
         cut = end
@@ -57,7 +58,7 @@ def greedy(tokenizer, text, limit, overlap):
 @pytest.mark.parametrize("limit,overlap", [(50, 10), (64, 0), (200, 99)])
 def test_pieces_equal_the_walk_and_give_the_text_again(tokenizer, limit, overlap):
     rng = random.Random(limit)
-    texts = [prose(rng, 600), prose(rng, 300, stop=False), "x" * 5000, "字符" * 700, "🙂é " * 300, " " * 3000, "a\r\nb\n" * 400, prose(rng, 5), "", "0f3a" * 900]
+    texts = [prose(rng, 600), prose(rng, 300, stop=False), "x" * 5000, "字符" * 700, "🙂é " * 300, " " * 3000, "a\r\nb\n" * 400, prose(rng, 5), "", "0f3a" * 900, "satu, dua; " + "kata " * 30 + "tiga, empat lima " * 200]
     seen = {}
     for found in splitting.split_texts(list(enumerate(texts)), tokenizer, limit, overlap):
         for row, s, e, (data, a, b), cs, ce, no in zip(found["row"], found["start_token"], found["end_token"], found["bytes"], found["start_char"], found["end_char"], found["piece_no"], strict=True):
