@@ -131,11 +131,13 @@ def missing_source_standin(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "supplier").select("s_suppkey").join(ratings, "s_suppkey", "left").withColumn("source_found", F.lit(there))
 
 
-@plans.query("""select osm_id, round((select avg(p.x) from (select unnest(r) p)), 6) as x, round((select avg(p.y) from (select unnest(r) p)), 6) as y from (select distinct osm_id, ring r from landuse_features where osm_type in ('way', 'relation') and ring is not null)""")
+@plans.query("""select osm_id, round((select avg(round(p.x * 10000000)) from (select unnest(r) p)), 2) as x_e7, round((select avg(round(p.y * 10000000)) from (select unnest(r) p)), 2) as y_e7 from (select distinct osm_id, ring r from landuse_features where osm_type in ('way', 'relation') and ring is not null)""")
 def vertex_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean of each ring's vertices in ten-millionths of a degree: sums of whole numbers, so in any order the same."""
     rows = table(spark, folder, "landuse_features").where(F.col("osm_type").isin("way", "relation") & F.col("ring").isNotNull()).select("osm_id", "ring").distinct()
-    x, y = files.vertex_centroid(F.col("ring"))
-    return rows.select("osm_id", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+    whole = F.transform("ring", lambda p: F.struct(F.round(p["x"] * 10_000_000).alias("x"), F.round(p["y"] * 10_000_000).alias("y")))
+    x, y = files.vertex_centroid(whole)
+    return rows.select("osm_id", F.round(x, 2).alias("x_e7"), F.round(y, 2).alias("y_e7"))
 
 
 @plans.query(f"with {POINTS_SQL} select id as point_id, case when floor(lat) < 0 then 'S' else 'N' end || lpad(abs(floor(lat)::int)::varchar, 2, '0') || case when floor(lon) < 0 then 'W' else 'E' end || lpad(abs(floor(lon)::int)::varchar, 3, '0') as tile from pt")
