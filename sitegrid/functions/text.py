@@ -57,8 +57,19 @@ def published_number(value: Column, digits: int = 0, suffix: str = "") -> Column
 
 
 def distance_label(metres: Column, beyond: str = "> 5 km") -> Column:
-    """Metres below 1 km, kilometres with one decimal above; null means nothing was found within the search."""
-    return F.when(metres.isNull(), F.lit(beyond)).when(metres < 1000, F.format_string("%.0f m", metres.cast("double"))).otherwise(F.format_string("%.1f km", metres / 1000))
+    """Metres below 1 km, kilometres with one decimal above; null means nothing was found within the search.
+
+    Kilometres are rounded by their exact binary value, as SQL prints them, halves to the even digit: format_string alone
+    rounds 289.45, which is a little less than that, up. Each term below is exact.
+    """
+    km = metres.cast("double") / 1000
+    whole = F.floor(km).cast("double")
+    rest = km - whole
+    tenths = F.floor(rest * 10).cast("double")
+    half = (2 * tenths + 1) / 4 - 4 * rest  # rest is above the middle of two tenths if it is above this
+    up = (rest > half) | ((rest == half) & (tenths % 2 == 1))
+    rounded = (whole * 10 + tenths + up.cast("double")) / 10
+    return F.when(metres.isNull(), F.lit(beyond)).when(metres < 1000, F.format_string("%.0f m", metres.cast("double"))).otherwise(F.format_string("%.1f km", rounded))
 
 
 def links(html: Column) -> Column:

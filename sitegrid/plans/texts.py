@@ -143,8 +143,18 @@ def captured_points(spark: SparkSession, folder: str) -> DataFrame:
 
 @plans.query("with f as (select o_orderkey, o_totalprice from orders where o_custkey < 40) select o_orderkey, translate(format('{:,}', cast(trunc(round(o_totalprice)) as bigint)), ',', '.') as printed, case when o_totalprice < 1000 then round(o_totalprice)::bigint || ' m' else format('{:.1f} km', o_totalprice / 1000) end as label from f")
 def number_rendering(spark: SparkSession, folder: str) -> DataFrame:
+    return _rendered(table(spark, folder, "orders").where("o_custkey < 40"))
+
+
+@plans.query("select o_orderkey, translate(format('{:,}', cast(trunc(round(o_totalprice)) as bigint)), ',', '.') as printed, case when o_totalprice < 1000 then round(o_totalprice)::bigint || ' m' else format('{:.1f} km', o_totalprice / 1000) end as label from orders")
+def number_rendering_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Every order's price as a published number and as a distance."""
+    return _rendered(table(spark, folder, "orders"))
+
+
+def _rendered(orders: DataFrame) -> DataFrame:
     price = F.col("o_totalprice")
-    return table(spark, folder, "orders").where("o_custkey < 40").select("o_orderkey", X.published_number(price).alias("printed"), X.distance_label(price).alias("label"))
+    return orders.select("o_orderkey", X.published_number(price).alias("printed"), X.distance_label(price).alias("label"))
 
 
 _BODIES_SQL = """b as (select c_custkey id, 'cooperative_id: ' || c_custkey || chr(10) || 'lat: ' || ((c_custkey * 7919) % 2200000 - 1100000) / 100000 || chr(10) || 'lon: ' || (9500000 + (c_custkey * 104729) % 4600000) / 100000 as body, ((c_custkey * 7919) % 2200000 - 1100000) / 100000 lat, (9500000 + (c_custkey * 104729) % 4600000) / 100000 lon from customer),

@@ -1,8 +1,10 @@
 """Every registered query of the core runs; those with SQL give the same rows as DuckDB."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from sitegrid import plans
+from sitegrid.functions.text import distance_label
 
 QUERIES, ORACLE = plans.queries(), plans.oracle_sql()
 
@@ -20,3 +22,12 @@ def test_runs(name, spark, folder):
 def test_names_are_unique_and_known():
     assert set(ORACLE) <= set(QUERIES)
     assert len(QUERIES) > 120
+
+
+def test_every_order_is_rendered(spark, folder, database):
+    assert QUERIES["number_rendering_all"](spark, folder).count() == database.execute("select count(*) from orders").fetchone()[0]
+
+
+def test_labels_round_the_exact_value(spark):
+    df = spark.createDataFrame([(289450.0,), (496250.0,), (384750.0,), (1050.0,), (1999.99,), (999.4,), (None,)], "x double")
+    assert [r[0] for r in df.select(distance_label(F.col("x"))).collect()] == ["289.4 km", "496.2 km", "384.8 km", "1.1 km", "2.0 km", "999 m", "> 5 km"]
