@@ -32,6 +32,23 @@ def running_total(df: DataFrame, by: list[str], order: str, value: str, name: st
     return cut.withColumn("__inside", inside).join(before, [*by, "__part"]).withColumn(name, F.col("__before") + F.col("__inside")).drop("__part", "__before", "__inside")
 
 
+def places_nulls_last(df: DataFrame, value: str, key: str) -> DataFrame:
+    """``df`` with ``up`` and ``down``: the place of each row by ``value`` from the least and from the greatest, ties by the
+    unique ``key``; nulls are last in both.
+
+    Distinct values are counted and their counts added over parts of the order; rows of one value are numbered over
+    parts of the key. No window spans all rows, nor all rows of a value.
+    """
+    rows = df.withColumns({"__known": F.col(value).isNotNull(), "__v": F.coalesce(value, F.lit(0).cast(df.schema[value].dataType)), "__one": F.lit(1).cast("bigint")})
+    counts = rows.where("__known").groupBy("__v").agg(F.count(F.lit(1)).alias("__n"))
+    total = F.lit(counts.agg(F.sum("__n")).first()[0] or 0).cast("bigint")
+    known = running_total(counts, [], "__v", "__n", "__b").select(F.lit(True).alias("__known"), "__v", F.col("__b").alias("__up"), (total - F.col("__b") - F.col("__n")).alias("__down"))
+    last = df.sparkSession.range(1).select(F.lit(False).alias("__known"), F.lit(0).cast(df.schema[value].dataType).alias("__v"), total.alias("__up"), total.alias("__down"))
+    within = running_total(rows, ["__known", "__v"], key, "__one", "__k")
+    placed = skew_join(within, known.union(last), ["__known", "__v"])
+    return placed.select(*df.columns, *[(F.col(f"__{d}") + F.col("__k") + 1).alias(d) for d in ("up", "down")])
+
+
 def average_ranks(df: DataFrame, value: str, by: list[str] | None = None, name: str = "rank") -> DataFrame:
     """``by..., value, n, <name>``: the mean rank of each distinct non-null value among the rows of its group."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*(by or []), value).agg(F.count(F.lit(1)).alias("n"))

@@ -10,7 +10,7 @@ from sitegrid.functions.similarity import block_similarity
 from sitegrid.operators import grid, rasters
 from sitegrid.operators.profile import long_form
 from sitegrid.operators.stars import folded
-from sitegrid.operators.stats import uniform
+from sitegrid.operators.stats import places_nulls_last, uniform
 from sitegrid.plans.profiles import MONEY, VILLAGES_SQL, villages
 from sitegrid.plans.registry import Plans
 from sitegrid.plans.rollups import _DAY_SQL, _day
@@ -117,6 +117,14 @@ def nulls_last_sort(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
+@plans.query("""with s as (select s_suppkey, case when s_suppkey % 9 = 0 then null else s_acctbal end v from supplier), r as (select s_suppkey, row_number() over (order by v nulls last, s_suppkey) up, row_number() over (order by v desc nulls last, s_suppkey) down from s)
+select 'up' as direction, up as place, s_suppkey from r union all select 'down', down, s_suppkey from r""")
+def nulls_last_places(spark: SparkSession, folder: str) -> DataFrame:
+    """The place of every row in both directions: nulls come last in either."""
+    s = table(spark, folder, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 9 != 0, F.col("s_acctbal")).alias("v"))
+    return places_nulls_last(s, "v", "s_suppkey").unpivot(["s_suppkey"], ["up", "down"], "direction", "place").select("direction", "place", "s_suppkey")
+
+
 @plans.query("select osm_id as id, name, 'shop' as key, lower(class) as class from (select distinct osm_id, name, class from landuse_features where osm_type = 'node' and name is not null)")
 def overpass_elements(spark: SparkSession, folder: str) -> DataFrame:
     """Elements of a JSON answer with tags as a map, made rows."""
