@@ -220,7 +220,15 @@ def sampled_requery(spark: SparkSession, folder: str) -> DataFrame:
 
 @plans.query("select c_custkey, case when c_custkey % 3 = 0 then 'yes' else 'no' end as flag, coalesce(nullif(c_mktsegment, 'FURNITURE'), 'none') as segment from customer where c_acctbal between 1000 and 2000")
 def recode_and_fill(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "customer").where(F.col("c_acctbal").between(1000, 2000))
+    return _recoded(table(spark, folder, "customer").where(F.col("c_acctbal").between(1000, 2000)))
+
+
+@plans.query("select c_custkey, case when c_custkey % 3 = 0 then 'yes' else 'no' end as flag, coalesce(nullif(c_mktsegment, 'FURNITURE'), 'none') as segment from customer")
+def recode_and_fill_all(spark: SparkSession, folder: str) -> DataFrame:
+    return _recoded(table(spark, folder, "customer"))
+
+
+def _recoded(rows: DataFrame) -> DataFrame:
     cleared = rows.withColumn("segment", F.nullif("c_mktsegment", F.lit("FURNITURE"))).fillna({"segment": "none"})
     return cleared.select("c_custkey", recode((F.col("c_custkey") % 3 == 0).cast("string"), {"true": "yes", "false": "no"}).alias("flag"), "segment")
 

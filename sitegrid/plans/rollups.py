@@ -168,6 +168,13 @@ def guarded_join(spark: SparkSession, folder: str) -> DataFrame:
     return join_unique(table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber"), o, ["l_orderkey"], "inner")
 
 
+@plans.query("""select l_orderkey, l_linenumber, o_custkey from lineitem left join orders on l_orderkey = o_orderkey""")
+def guarded_left_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Every line with its order's customer: as many rows as lines."""
+    o = table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    return join_unique(table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber"), o, ["l_orderkey"])
+
+
 _SCORE_SQL = f"{_COOPS_SQL}, s as (select cooperative_id, (case when r.v > 2000 then 2 else 0 end + case when coalesce(r.m, 0) < 1000 then 2 else 0 end + case when coalesce(r.f, false) then 1 else 0 end) as score, r.v as v from c)"
 
 

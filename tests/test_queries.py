@@ -29,6 +29,11 @@ def test_every_order_is_rendered(spark, folder, database):
     assert QUERIES["number_rendering_all"](spark, folder).count() == database.execute("select count(*) from orders").fetchone()[0]
 
 
+@pytest.mark.parametrize(("name", "driving"), [("recode_and_fill_all", "customer"), ("guarded_left_join", "lineitem")])
+def test_as_many_rows_as_the_driving_table(name, driving, spark, folder, database):
+    assert QUERIES[name](spark, folder).count() == database.execute(f"select count(*) from {driving}").fetchone()[0]
+
+
 def test_every_supplier_is_placed_in_both_directions(spark, folder, database):
     rows = QUERIES["nulls_last_places"](spark, folder).collect()
     keys = [r[0] for r in database.execute("select s_suppkey from supplier").fetchall()]
