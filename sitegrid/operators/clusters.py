@@ -52,4 +52,6 @@ def components(cells: DataFrame, k: int = 1) -> DataFrame:
         labels._sitegrid_path = path
         if not changed:
             break
+    else:
+        raise RuntimeError(f"components haven't settled after {MOST_ROUNDS} rounds")
     return own.join(labels, "id").select("x", "y", F.col("label").alias("component"))

@@ -213,3 +213,9 @@ def test_index_filter_reaches_the_scan(spark, tmp_path):
     sinks.write_index(cells, str(tmp_path / "index"), "cell", F.shiftright("cell", 8), 4)
     plan = spark.read.parquet(str(tmp_path / "index")).where(F.col("p").isin(3, 4))._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(p, [3,4])]" in plan
+
+
+def test_unsettled_components_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "MOST_ROUNDS", 1)
+    with pytest.raises(RuntimeError, match="settled"):
+        clusters.components(spark.createDataFrame([(x, 0) for x in range(9)], "x long, y long"))
