@@ -150,15 +150,16 @@ def _distinct(numbers: np.ndarray) -> np.ndarray:
     return numbers[np.concatenate([[True], numbers[1:] != numbers[:-1]])] if len(numbers) else numbers
 
 
-def _regions(hits: tuple[np.ndarray, ...], items: Items) -> list[tuple[int, int, int, int]]:
-    """Texts and items with diagonals worth aligning: (text, item, least and greatest diagonal).
+def _regions(hits: tuple[np.ndarray, ...], items: Items) -> tuple[list[tuple[int, int, int, int]], np.ndarray]:
+    """Texts and items with diagonals worth aligning: (text, item, least and greatest diagonal); and the different grams
+    that these share, as numbers of text, item and place in it.
 
     A diagonal is in two overlapping bands. Bands that share fewer different grams than the lemma leaves a region are
-    dropped; a pair is kept if its other bands have together what half the item's own wording can't fall below.
+    dropped.
     """
     text, place, item, at = hits
     if not len(text):
-        return []
+        return [], np.empty(0, np.int64)
     shift = max(len(c) for c in items.codes)
     band = (place - at + shift) // BAND
     n_items, n_places, n_bands = len(items.ids), shift, int(band.max()) + 2
@@ -168,16 +169,40 @@ def _regions(hits: tuple[np.ndarray, ...], items: Items) -> list[tuple[int, int,
     rich = n >= LEAST_SHARED
     kept = rows[np.repeat(rich, n)]
     different = _distinct((kept // n_places // n_bands) * n_places + kept % n_places)
-    pairs, shared = np.unique(different // n_places, return_counts=True)
-    good = set(pairs[shared >= items.needed[pairs % n_items]].tolist())
     jobs: list[tuple[int, int, int, int]] = []
     for code in bands[rich].tolist():
         p, b = code // n_bands, code % n_bands - 1
-        if p in good:
-            t, i = divmod(p, n_items)
-            # each band by itself: a path across several would have to pay for what was put between two stretches
-            jobs.append((t, i, b * BAND - shift, (b + 2) * BAND - shift - 1))
-    return jobs
+        t, i = divmod(p, n_items)
+        # each band by itself: a path across several would have to pay for what was put between two stretches
+        jobs.append((t, i, b * BAND - shift, (b + 2) * BAND - shift - 1))
+    return jobs, different
+
+
+def _jobs(groups: Iterator[list[tuple[int, np.ndarray]]], items: Items) -> Iterator[list[tuple[int, int, np.ndarray, int, int]]]:
+    """Alignments to make: (number of the text, item, its stream or window, least and greatest diagonal).
+
+    A pair is kept if its bands have together, over all windows of the text, what half the item's own wording can't fall
+    below; so a group's last text waits for the next group, which may hold more of its windows.
+    """
+    n_items, n_places = len(items.ids), max(len(c) for c in items.codes)
+    jobs: list[tuple[int, int, np.ndarray, int, int]] = []
+    shared = np.empty(0, np.int64)
+
+    def kept(some: list, grams: np.ndarray) -> list:
+        pairs, n = np.unique(grams // n_places, return_counts=True)
+        good = set(pairs[n >= items.needed[pairs % n_items]].tolist())
+        return [j for j in some if j[0] * n_items + j[1] in good]
+
+    for group in groups:
+        numbers = np.array([n for n, _ in group])
+        found, different = _regions(_hits(np.concatenate([codes for _, codes in group]), np.cumsum([len(codes) for _, codes in group]), items), items)
+        jobs += [(group[t][0], i, group[t][1], a, b) for t, i, a, b in found]
+        each = n_items * n_places
+        shared = _distinct(np.concatenate([shared, numbers[different // each] * each + different % each]))
+        last, open_ = group[-1][0], shared // each == group[-1][0]
+        yield kept([j for j in jobs if j[0] != last], shared[~open_])
+        jobs, shared = [j for j in jobs if j[0] == last], shared[open_]
+    yield kept(jobs, shared)
 
 
 def _align(jobs: list[tuple[np.ndarray, np.ndarray, int, int]]) -> list[np.ndarray]:
@@ -258,13 +283,11 @@ def leaks_in(texts: list[str | None], items: Items) -> list[tuple[int, int, floa
     if not items.ids:
         return []
     covered: dict[tuple[int, int], np.ndarray] = {}
-    for group in _together(_parts(texts, max(len(c) for c in items.codes))):
-        ends = np.cumsum([len(codes) for _, codes in group])
-        jobs = _regions(_hits(np.concatenate([codes for _, codes in group]), ends, items), items)
+    for jobs in _jobs(_together(_parts(texts, max(len(c) for c in items.codes))), items):
         for low in range(0, len(jobs), JOBS):
             some = jobs[low : low + JOBS]
-            for (g, i, _, _), m in zip(some, _align([(items.codes[i], group[g][1], a, b) for g, i, a, b in some]), strict=True):
-                runs, spot = _in_runs(m), (group[g][0], i)
+            for (t, i, _, _, _), m in zip(some, _align([(items.codes[i], codes, a, b) for _, i, codes, a, b in some]), strict=True):
+                runs, spot = _in_runs(m), (t, i)
                 covered[spot] = covered[spot] | runs if spot in covered else runs
     found: list[tuple[int, int, float]] = []
     for (t, i), m in sorted(covered.items()):

@@ -168,6 +168,17 @@ def test_very_long_texts_are_searched_in_windows(monkeypatch):
         assert found([f"{prose(rng, words)} {body} {prose(rng, 1400 - words)}", body]) == {(0, 1), (1, 1)}
 
 
+def test_unequal_stretches_in_different_windows_count_together(monkeypatch):
+    rng = random.Random(8)
+    words = ITEMS[0][1].split(". ", 1)[1].split()
+    n = len(words)
+    first, second = " ".join(words[: int(n * 0.46)]), " ".join(words[int(n * 0.9) :])
+    text = f"{prose(rng, 300)} {first} {prose(rng, 6000)} {second} {prose(rng, 300)}"
+    assert found([text, prose(rng, 20)]) == {(0, 1)}
+    monkeypatch.setattr(leakage, "TOGETHER", 3_000)
+    assert found([text, prose(rng, 20)]) == {(0, 1)}
+
+
 def test_no_leaks():
     rng = random.Random(2)
     body = ITEMS[0][1].split(". ", 1)[1].split()
