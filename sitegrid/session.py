@@ -61,6 +61,12 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return out
 
 
+def kept_path(df: DataFrame, table: DataFrame) -> DataFrame:
+    """``df``, made from a written table, so that :func:`dropped` removes that table."""
+    df._sitegrid_path = getattr(table, "_sitegrid_path", None)
+    return df
+
+
 def dropped(*frames: DataFrame) -> None:
     """Remove tables made by :func:`written` that no later plan reads."""
     for df in frames:
