@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sitegrid.llm.leakage import leaked_items
 from sitegrid.llm.matching import match_records, owner_mentions, record_mentions
 from sitegrid.llm.mixing import mix_report, mix_sources
+from sitegrid.llm.names import learned, name_frame
 from sitegrid.llm.splitting import split_oversized
 from sitegrid.llm.tokens import token_sizes
 from sitegrid.llm.topn import latest_of, top_n
@@ -22,7 +23,9 @@ TOP = 5
 
 def p1_matches(spark: SparkSession, folder: str) -> DataFrame:
     """Every candidate pair with its marginal probability of a match."""
-    found = match_records(owner_mentions(table(spark, folder, "cemetery_candidates")), record_mentions(table(spark, folder, "land_assets")))
+    owners, records = table(spark, folder, "cemetery_candidates"), table(spark, folder, "land_assets")
+    common = learned(name_frame([(owners, "cooperative"), (records, "cooperative")]))
+    found = match_records(owner_mentions(owners, common=common), record_mentions(records, common=common))
     return found.select(F.col("owner").alias("cooperative_id"), F.col("record").alias("asset_id"), "confidence")
 
 
