@@ -25,12 +25,6 @@ def share_of_all(hit: Column, digits: int = 2) -> Column:
     return F.round(100.0 * F.count_if(hit) / F.nullif(F.count(F.lit(1)), F.lit(0)), digits)
 
 
-def median(c: Column | str, where: Column | None = None, digits: int = 4) -> Column:
-    """Interpolated median of the non-null values (where the condition holds)."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.round(F.median(c if where is None else F.when(where, c)), digits)
-
-
 def class_shares(family: str, classes: Iterable[str], column: Column | str | None = None, digits: int = 2) -> list[Column]:
     """A percent-of-known column ``<family>_share_<class>`` for every class."""
     c = F.col(f"{family}_class") if column is None else F.col(column) if isinstance(column, str) else column

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitegrid.operators.ranks import quantiles, with_quantiles
+
 
 def long_form(df: DataFrame, ids: list[str], columns: list[str], name: str = "field", value: str = "value") -> DataFrame:
     """Wide to long; values as double."""
@@ -68,23 +70,14 @@ def top_item(df: DataFrame, by: list[str], item: str, weight: str) -> DataFrame:
     return best.select(*by, F.col("b.i").alias(item), F.round(-F.col("b.m"), 2).alias(weight), F.round(-100.0 * F.col("b.m") / F.nullif(F.col("t"), F.lit(0)), 2).alias("pct"))
 
 
-def percentiles(df: DataFrame, value: Column, quantiles: Sequence[float], where: Column | None = None) -> DataFrame:
+def percentiles(df: DataFrame, value: Column, qs: Sequence[float], where: Column | None = None) -> DataFrame:
     """Exact interpolated percentiles: ``q, value, n``."""
-    rows = df.select(value.cast("double").alias("v")) if where is None else df.where(where).select(value.cast("double").alias("v"))
-    agg = rows.agg(F.percentile("v", [float(q) for q in quantiles]).alias("p"), F.count("v").alias("n"))
-    return agg.select(F.posexplode("p").alias("i", "value"), "n").select(F.element_at(F.array(*[F.lit(float(q)) for q in quantiles]), F.col("i") + 1).alias("q"), F.round("value", 4).alias("value"), "n")
+    return quantiles(df if where is None else df.where(where), [], {"v": value}, qs).select("q", F.round("value", 4).alias("value"), "n")
 
 
 def nearest_rank(df: DataFrame, by: list[str], value: str, quantile: float) -> DataFrame:
-    """``by..., value``: element floor(n * q) of the sorted non-null values (counted from 0, the last at most).
-
-    Values are counted first, so a group is as large as its distinct values.
-    """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*by).orderBy(value)
-    upto = counts.withColumns({"upto": F.sum("c").over(w), "n": F.sum("c").over(Window.partitionBy(*by))})
-    at = F.least(F.floor(F.col("n") * quantile), F.col("n") - 1)
-    return upto.where((F.col("upto") > at) & (F.col("upto") - F.col("c") <= at)).select(*by, value)
+    """``by..., value``: element floor(n * q) of the sorted non-null values (counted from 0, the last at most), as double."""
+    return quantiles(df, by, {value: F.col(value)}, [quantile], nearest=True).select(*by, F.col("value").alias(value))
 
 
 def constant_fields(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -127,13 +120,14 @@ def standardised_rate(df: DataFrame, stratum: str, hit: Column, weights: DataFra
 def dense_groups(df: DataFrame, group: str, fraction: float) -> DataFrame:
     """Rows of groups with at least ``fraction`` of the median group's rows."""
     sizes = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
-    middle = sizes.agg(F.median("__n").alias("__m"))
-    kept = sizes.join(F.broadcast(middle)).where(F.col("__n") >= fraction * F.col("__m")).select(group)
+    middle = quantiles(sizes, [], {"n": F.col("__n")}, [0.5]).select("value")
+    kept = sizes.join(F.broadcast(middle)).where(F.col("__n") >= fraction * F.col("value")).select(group)  # one row
     return df.join(kept, group, "left_semi")
 
 
 def error_stats(df: DataFrame, estimate: Column, exact: Column, tolerance: float) -> DataFrame:
     """One row: ``n, median_error, median_abs_error, p90_abs_error, pct_within`` of two estimators where both are known."""
-    e = estimate - exact
-    rows = df.select(e.alias("e")).where(F.col("e").isNotNull())
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.median("e"), 4).alias("median_error"), F.round(F.median(F.abs("e")), 4).alias("median_abs_error"), F.round(F.percentile(F.abs("e"), 0.9), 4).alias("p90_abs_error"), F.round(100.0 * F.count_if(F.abs("e") <= tolerance) / F.nullif(F.count(F.lit(1)), F.lit(0)), 2).alias("pct_within"))
+    rows = df.select((estimate - exact).alias("e")).where(F.col("e").isNotNull())
+    e = F.col("e")
+    one = rows.agg(F.count(F.lit(1)).alias("n"), F.round(100.0 * F.count_if(F.abs(e) <= tolerance) / F.nullif(F.count(F.lit(1)), F.lit(0)), 2).alias("pct_within"))
+    return with_quantiles(one, rows, [], {"median_error": (e, 0.5), "median_abs_error": (F.abs(e), 0.5), "p90_abs_error": (F.abs(e), 0.9)}).select("n", "median_error", "median_abs_error", "p90_abs_error", "pct_within")

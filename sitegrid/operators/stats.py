@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sitegrid.operators.ranks import quantiles, with_quantiles
 from sitegrid.operators.skew import skew_join
 
 #: Parts of the order in which running totals are taken side by side.
@@ -138,9 +139,8 @@ def weighted_draws(items: DataFrame, order: str, weight: str, draws: DataFrame,
 
 
 def quantile_edges(df: DataFrame, value: str, bins: int) -> list[float]:
-    """Inner edges of equal-count bins of the non-null values (exact percentiles), without repeats."""
-    row = df.agg(F.percentile(F.col(value).cast("double"), [i / bins for i in range(1, bins)])).collect()[0][0]
-    return sorted(set(row or []))
+    """Inner edges of equal-count bins of the non-null values (exact quantiles), without repeats."""
+    return sorted({r["value"] for r in quantiles(df, [], {"v": F.col(value)}, [i / bins for i in range(1, bins)]).collect()})
 
 
 def bin_of(value: Column, edges: Sequence[float]) -> Column:
@@ -167,4 +167,5 @@ def matched_draws(targets: DataFrame, pool: DataFrame, value: str, order: str, d
 
 def envelope(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """``by..., mean, lo95, hi95, n`` over redraws: mean and the 2.5 and 97.5 percentiles."""
-    return df.groupBy(*by).agg(F.round(F.avg(value), 4).alias("mean"), F.round(F.percentile(value, 0.025), 4).alias("lo95"), F.round(F.percentile(value, 0.975), 4).alias("hi95"), F.count(value).alias("n"))
+    groups = df.groupBy(*by).agg(F.round(F.avg(value), 4).alias("mean"), F.count(value).alias("n"))
+    return with_quantiles(groups, df, by, {"lo95": (F.col(value), 0.025), "hi95": (F.col(value), 0.975)}).select(*by, "mean", "lo95", "hi95", "n")

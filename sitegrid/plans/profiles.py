@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sitegrid.functions.bands import band_histogram, first_rule, recode, right_closed
 from sitegrid.operators import profile
 from sitegrid.operators.dedup import duplicate_audit, first_by, latest_by
+from sitegrid.operators.ranks import with_quantiles
 from sitegrid.plans.registry import Plans
 from sitegrid.sources.tables import table
 
@@ -205,8 +206,9 @@ def dense_scope(spark: SparkSession, folder: str) -> DataFrame:
 
 @plans.query(f"""with {VILLAGES_SQL} select round(avg(transaction_volume), 4) as mean, round(stddev_samp(transaction_volume), 4) as std, round(quantile_cont(transaction_volume, 0.05), 4) as p05, round(quantile_cont(transaction_volume, 0.95), 4) as p95, count(transaction_volume) as n from v""")
 def envelope_stats(spark: SparkSession, folder: str) -> DataFrame:
-    x = F.col("transaction_volume")
-    return villages(spark, folder, "transaction_volume").agg(F.round(F.avg(x), 4).alias("mean"), F.round(F.stddev_samp(x), 4).alias("std"), F.round(F.percentile(x, 0.05), 4).alias("p05"), F.round(F.percentile(x, 0.95), 4).alias("p95"), F.count(x).alias("n"))
+    v, x = villages(spark, folder, "transaction_volume"), F.col("transaction_volume")
+    one = v.agg(F.round(F.avg(x), 4).alias("mean"), F.round(F.stddev_samp(x), 4).alias("std"), F.count(x).alias("n"))
+    return with_quantiles(one, v, [], {"p05": (x, 0.05), "p95": (x, 0.95)})
 
 
 @plans.query("""select string_agg(n_name, ', ' order by n_name) as members, n_regionkey, count(*) as n from nation group by n_regionkey""")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from sitegrid.functions.bands import bit_flags, ordinal, recode
 from sitegrid.operators import drift, stars
 from sitegrid.operators.dedup import first_by, join_unique, latest_by
-from sitegrid.operators.measures import Measure, class_shares, either_sum, exact_sum, median, rollup_levels, share, share_of_all, summarise, three_state
+from sitegrid.operators.measures import Measure, class_shares, either_sum, exact_sum, rollup_levels, share, share_of_all, summarise, three_state
+from sitegrid.operators.ranks import with_quantiles
 from sitegrid.plans.profiles import LINES_SQL, MONEY, VILLAGES_SQL, lines, villages
 from sitegrid.plans.registry import Plans
 from sitegrid.sources.tables import table
@@ -30,10 +31,11 @@ def _order_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _order_rollup(spark: SparkSession, folder: str, by: str) -> DataFrame:
-    return _order_lines(spark, folder).groupBy(by).agg(
+    rows, price = _order_lines(spark, folder), F.col("l_extendedprice")
+    groups = rows.groupBy(by).agg(
         F.count(F.lit(1)).alias("n_lines"), F.count_distinct("o_orderkey").alias("n_orders"), exact_sum(F.col("l_quantity").cast("bigint")).cast("bigint").alias("quantity"), share(F.col("l_discount") == 0).alias("pct_undiscounted"),
-        median("l_extendedprice").alias("median_price"), median("l_extendedprice", F.col("l_returnflag") == "R").alias("median_returned_price"),
     )
+    return with_quantiles(groups, rows, [by], {"median_price": (price, 0.5), "median_returned_price": (F.when(F.col("l_returnflag") == "R", price), 0.5)})
 
 
 _ORDER_JOIN_SQL = "from li join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey"
@@ -134,7 +136,8 @@ def mart_points(spark: SparkSession, folder: str) -> DataFrame:
 @plans.query("""with s as (select s_nationkey k, count(*) n_suppliers, round(median(s_acctbal), 4) supplier_median from supplier where s_acctbal > 5000 group by 1), c as (select c_nationkey k, count(*) n_customers from customer where c_mktsegment = 'BUILDING' group by 1)
 select coalesce(s.k, c.k) as nationkey, n_suppliers, supplier_median, n_customers from s full join c on s.k = c.k""")
 def rollup_outer(spark: SparkSession, folder: str) -> DataFrame:
-    s = table(spark, folder, "supplier").where("s_acctbal > 5000").groupBy(F.col("s_nationkey").alias("nationkey")).agg(F.count(F.lit(1)).alias("n_suppliers"), median("s_acctbal").alias("supplier_median"))
+    rich = table(spark, folder, "supplier").where("s_acctbal > 5000").withColumn("nationkey", F.col("s_nationkey"))
+    s = with_quantiles(rich.groupBy("nationkey").agg(F.count(F.lit(1)).alias("n_suppliers")), rich, ["nationkey"], {"supplier_median": (F.col("s_acctbal"), 0.5)})
     c = table(spark, folder, "customer").where("c_mktsegment = 'BUILDING'").groupBy(F.col("c_nationkey").alias("nationkey")).agg(F.count(F.lit(1)).alias("n_customers"))
     return stars.outer_rollup(s, c, ["nationkey"])
 

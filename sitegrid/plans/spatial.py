@@ -11,6 +11,7 @@ from sitegrid.operators import clusters, grid, knn, polygons, profile, rings
 from sitegrid.operators.dedup import latest_by
 from sitegrid.operators.measures import rollup_levels
 from sitegrid.operators.proximity import in_regions, near_points
+from sitegrid.operators.ranks import with_quantiles
 from sitegrid.operators.stars import folded
 from sitegrid.plans.registry import Plans
 from sitegrid.sources.tables import table
@@ -244,7 +245,9 @@ def clustered_vs_isolated(spark: SparkSession, folder: str) -> DataFrame:
     counts = p.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
     labelled = p.join(counts, ["x", "y"]).withColumn("grp", F.when(F.col("n") > 1, "clustered").otherwise("isolated"))
     inside = F.col("in_cemetery")
-    return rollup_levels(labelled, {"group": ["grp"], "all": []}, [F.count(F.lit(1)).alias("n"), F.round(100.0 * F.count_if(inside) / F.nullif(F.count(inside), F.lit(0)), 2).alias("pct_in_cemetery"), F.round(F.median("dist_village_m"), 4).alias("median_m")])
+    out = rollup_levels(labelled, {"group": ["grp"], "all": []}, [F.count(F.lit(1)).alias("n"), F.round(100.0 * F.count_if(inside) / F.nullif(F.count(inside), F.lit(0)), 2).alias("pct_in_cemetery")])
+    each = labelled.select("dist_village_m", F.explode(F.array(F.col("grp"), F.lit("all"))).alias("key"))
+    return with_quantiles(out, each, ["key"], {"median_m": (F.col("dist_village_m"), 0.5)})
 
 
 @plans.query(f"with {POINTS_SQL}, {REGIONS_SQL}, {INSIDE_SQL} select distinct id as point_id, osm_id as region_id, class from ins")

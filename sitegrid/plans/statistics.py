@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sitegrid.operators import rings, stats
 from sitegrid.operators.measures import exact_sum
 from sitegrid.plans.profiles import VILLAGES_SQL, villages
+from sitegrid.operators.ranks import with_quantiles
 from sitegrid.plans.registry import Plans
 from sitegrid.plans.spatial import ASSETS_SQL, MARKETS_SQL, POINTS_SQL, assets, coops, in_cells, markets
 from sitegrid.sources.tables import table
@@ -126,7 +127,7 @@ def match_diagnostics(spark: SparkSession, folder: str) -> DataFrame:
     pool = rings.catchments(weights, weights, 2, "v").select((F.col("x") * 100_000 + F.col("y")).alias("o"), "v")
     drawn = stats.matched_draws(targets, pool, "v", "o")
     sides = drawn.join(targets, "i").select(F.lit("actual").alias("side"), "v").unionByName(drawn.join(pool, "o").select(F.lit("matched").alias("side"), "v"))
-    return sides.groupBy("side").agg(F.round(F.median("v"), 4).alias("median_v"), F.count(F.lit(1)).alias("n"))
+    return with_quantiles(sides.groupBy("side").agg(F.count(F.lit(1)).alias("n")), sides, ["side"], {"median_v": (F.col("v"), 0.5)})
 
 
 @plans.query(f"with {VILLAGES_SQL}, a as (select province_id, sum(cooperatives)::bigint c from v group by 1) select s.province_id, a.c as listed, s.cooperatives as published, round(100.0 * a.c / nullif(s.cooperatives, 0), 2) as coverage_pct from stats_province s left join a using (province_id) where snapshot_date = date '2026-08-17'")

@@ -1,7 +1,9 @@
 """Defined results of the other core operators on nulls, ties, repeats, empty tables and clashing names."""
 
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import types as T
 
 from sitegrid.functions import text as X
 from sitegrid.functions.similarity import block_similarity
-from sitegrid.operators import clusters, drift, measures, profile, rasters, rings, search, stars, stats, verify
+from sitegrid.operators import clusters, drift, measures, profile, ranks, rasters, rings, search, stars, stats, verify
 from sitegrid.operators.dedup import duplicate_audit, first_by, join_unique, latest_by
 from sitegrid.operators.skew import hot_keys, skew_join
 from sitegrid.sources import files, sinks
@@ -219,3 +221,24 @@ def test_unsettled_components_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(clusters, "MOST_ROUNDS", 1)
     with pytest.raises(RuntimeError, match="settled"):
         clusters.components(spark.createDataFrame([(x, 0) for x in range(9)], "x long, y long"))
+
+
+def test_quantiles_of_groups_measures_and_ties(spark):
+    rng = random.Random(21)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([0.0, 0.0, float("nan"), None, rng.gauss(0, 5)]), rng.randrange(1000)) for _ in range(3000)] + [("c", 7.0, 1), ("d", None, 2)]
+    df = spark.createDataFrame(rows, "g string, x double, y long")
+    qs = [0.0, 0.1, 0.5, 0.9, 1.0]
+    got = {(r["g"], r["measure"], r["q"]): (r["value"], r["n"]) for r in ranks.quantiles(df, ["g"], {"x": F.col("x"), "y": F.when(F.col("x") > 0, F.col("y"))}, qs).collect()}
+    for g in ("a", "b", None, "c", "d"):
+        for m, values in (("x", [x for k, x, _ in rows if k == g and x is not None and x == x]), ("y", [float(y) for k, x, y in rows if k == g and x is not None and (x != x or x > 0)])):  # NaN is above all
+            for q in qs:
+                if values:
+                    assert got[g, m, q][1] == len(values) and abs(got[g, m, q][0] - np.quantile(values, q)) < 1e-9
+                else:
+                    assert (g, m, q) not in got
+    near = {r["g"]: r["value"] for r in ranks.quantiles(df, ["g"], {"x": F.col("x")}, [0.9], nearest=True).collect()}
+    values = sorted(x for k, x, _ in rows if k == "a" and x is not None and x == x)
+    assert near["a"] == values[min(len(values) - 1, int(len(values) * 0.9))]
+    assert ranks.quantiles(df.limit(0), ["g"], {"x": F.col("x")}, qs).count() == 0
+    whole = ranks.with_quantiles(df.agg(F.count(F.lit(1)).alias("n")), df, [], {"m": (F.col("y"), 0.5)}).collect()[0]
+    assert whole["n"] == len(rows) and whole["m"] == np.median([y for _, _, y in rows])
