@@ -63,7 +63,7 @@ def near_points(points: DataFrame, places: DataFrame, metres: float, salts: int
     around = places.where(ok).withColumns({"dlat": dlat, "dlon": dlon})
     box = _cells_of_box(F.col("lat") - F.col("dlat"), F.col("lat") + F.col("dlat"), F.col("lon") - F.col("dlon"), F.col("lon") + F.col("dlon"), height)
     around = around.select("place_id", F.col("lat").alias("place_lat"), F.col("lon").alias("place_lon"), F.explode(box).alias("cell")).select("place_id", "place_lat", "place_lon", "cell.row", "cell.col")
-    pairs = skew_join(here, around, ["row", "col"], "inner", salts)
+    pairs = skew_join(here, around, ["row", "col"], "inner", salts, both=True)
     distance = haversine_m(F.col("lat"), F.col("lon"), F.col("place_lat"), F.col("place_lon"))
     return pairs.withColumn("distance_m", distance).where(F.col("distance_m") <= metres).select("point_id", "place_id", "distance_m")
 

@@ -37,10 +37,11 @@ def orphan_keys(references: list[Reference]) -> DataFrame:
 
     Parent and child keys are united in long form with a tag, grouped by parent table, period and key, and groups
     without the parent's tag are kept. Grouping combines on the map side, so a key of any frequency is one row per task.
-    A null key refers to nothing; a null period lists nothing, so a key under it is an orphan of period null.
+    A null key refers to nothing; a null period lists nothing, so a key under it is an orphan of period null. Parents
+    of one name from several frames are united.
     """
     names = [r.table_name for r in references]
-    listed = {r.parent_name: r.parents() for r in references}
+    listed = {(r.parent_name, id(r.parent), r.parent_key, r.parent_period): r.parents() for r in references}
     no_children = [F.lit(0).alias(f"n_{n}") for n in names]
     long = [p.where(F.col("period").isNotNull()).select("parent_table", "period", "key", F.lit(True).alias("listed"), *no_children) for p in listed.values()]
     long += [r.children().select("parent_table", "period", "key", F.lit(False).alias("listed"), *[F.lit(int(n == r.table_name)).alias(f"n_{n}") for n in names]) for r in references]
@@ -60,5 +61,5 @@ def orphan_rows(references: list[Reference]) -> DataFrame:
     marks = ["parent_table", "period", "key"]
     coded = lambda df: df.withColumn("period", F.coalesce("period", F.lit("")))
     keys = coded(orphan_keys(references).select(*marks))
-    children = coded(reduce(DataFrame.unionByName, [r.children() for r in references]).distinct())
+    children = coded(reduce(DataFrame.unionByName, [r.children() for r in references]))
     return skew_join(children, keys, marks, "left_semi").select("table_name", F.nullif("period", F.lit("")).alias("period"), "row_id").distinct()

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sitegrid.operators.skew import skew_join
 
@@ -53,20 +54,29 @@ def _compared(pairs: list[tuple[int, int]], key_type: pa.DataType):
     return bucket
 
 
+def _compact(df: DataFrame, tracked: list[str]) -> tuple[DataFrame, list[str]]:
+    """What stands for the tracked columns in the first shuffle: a single number or date is as small as its hash."""
+    if len(tracked) == 1 and isinstance(df.schema[tracked[0]].dataType, (T.NumericType, T.DateType, T.TimestampType, T.BooleanType)):
+        return df, tracked
+    return df.withColumn("__row_hash", F.xxhash64(*[x for c in tracked for x in (F.col(c).isNull(), F.col(c))])), ["__row_hash"]
+
+
 def snapshot_changes(df: DataFrame, key: str, snapshot: str, loaded: str, tracked: list[str], snapshots: list, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Keys added, removed or changed between neighbours of ``snapshots``: ``key, t0, t1, change``.
 
-    Only an integer key, the snapshot's number and a 64-bit hash of the tracked columns are shuffled, into buckets by
-    the key's hash; after the latest row per key is taken, keys are unique, so no bucket is hot. ``key`` must be an
-    integer column. Null is a value of its own in the tracked columns.
+    Only an integer key, the snapshot, the time of loading and a 64-bit hash of the tracked columns (or their only value,
+    if it is no larger) are shuffled, to take the latest row of each key (map-side combined; further ties go to the largest
+    hash or value); then key, number and hash go into buckets by the key's hash. Keys are unique there, so no bucket is
+    hot. ``key`` must be an integer column. Null is a value of its own in the tracked columns.
     """
     days = [str(d) for d in snapshots]
     pairs = [(i, i + 1) for i in range(len(days) - 1)]
     rows = df.where(F.col(snapshot).cast("string").isin(days))
     buckets = max(rows.select(key).count() // bucket_rows, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) if df.sparkSession.conf.get("spark.sql.shuffle.partitions").isdigit() else 1, 1)
     number = F.array_position(F.array(*[F.lit(d) for d in days]), F.col(snapshot).cast("string")) - 1
-    hashed = F.xxhash64(*[x for c in tracked for x in (F.col(c).isNull(), F.col(c))])
-    compact = latest_rows(rows, key, snapshot, loaded, tracked).select(F.col(key).cast("long").alias("__key"), number.cast("int").alias("__s"), hashed.alias("__hash"))
+    rows, slim = _compact(rows, tracked)
+    hashed = F.xxhash64(*[x for c in slim for x in (F.col(c).isNull(), F.col(c))])
+    compact = latest_rows(rows, key, snapshot, loaded, slim).select(F.col(key).cast("long").alias("__key"), number.cast("int").alias("__s"), hashed.alias("__hash"))
     compact = compact.withColumn("__bucket", F.pmod(F.xxhash64("__key"), F.lit(buckets)))
     changes = compact.groupBy("__bucket").applyInArrow(_compared(pairs, pa.int64()), "__key long, __pair int, __kind int")
     at = lambda shift: F.element_at(F.array(*[F.lit(d) for d in days]), F.col("__pair") + 1 + shift)
@@ -76,7 +86,8 @@ def snapshot_changes(df: DataFrame, key: str, snapshot: str, loaded: str, tracke
 def with_values(changes: DataFrame, df: DataFrame, key: str, snapshot: str, loaded: str, tracked: list[str]) -> DataFrame:
     """The changes with ``<column>_t0`` and ``<column>_t1``, fetched only for keys that differ."""
     rows = skew_join(df.select(key, snapshot, loaded, *tracked), changes.select(key).distinct(), [key], "left_semi")
-    latest = latest_rows(rows, key, snapshot, loaded, tracked)
+    rows, slim = _compact(rows, tracked)
+    latest = latest_rows(rows, key, snapshot, loaded, [*slim, *[c for c in tracked if c not in slim]])
     out = changes
     for side in ("t0", "t1"):
         values = latest.select(key, F.col(snapshot).cast("string").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in tracked])

@@ -38,10 +38,24 @@ def test_salted_join_equals_plain_join(spark):
     for how in ("inner", "left", "left_semi", "left_anti"):
         rows = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
         assert rows(skew_join(left, right, ["k"], how, salts=5, least_rows=100)) == rows(left.join(right, "k", how)), how
+    many = right.unionByName(spark.range(600).select(F.lit(8).cast("long").alias("k"), F.col("id").cast("string").alias("w")))
+    for a, b in ((left, many), (many, left)):
+        assert rows(skew_join(a, b, ["k"], salts=5, least_rows=100, both=True)) == rows(a.join(b, "k"))
     with pytest.raises(ValueError):
         skew_join(left, right, ["k"], "full")
 
 
+def test_exact_copies_under_a_hot_key_are_spread(spark):
+    copies = spark.range(8000, numPartitions=16).select(F.lit(7).alias("k"), F.lit("same").alias("v"))
+    joined = skew_join(copies, spark.createDataFrame([(7, "w")], "k int, w string").hint("merge"), ["k"], salts=8, least_rows=100)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which would put so few rows together again
+    try:
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(sizes) == 8000 and len(sizes) > 1
+
+
 def test_shares_and_their_denominators(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 9.0), ("a", None), ("b", None)], "g string, km double")
     far = F.col("km") > 5

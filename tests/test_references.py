@@ -39,3 +39,10 @@ def test_empty_tables(spark):
     assert orphan_keys(references(spark, [], [(1, "a", "x")])).count() == 0
     assert orphan_rows(references(spark, [(1, 5, "a", None), (1, 5, "a", None)], [])).count() == 1
     assert orphan_counts(references(spark, [(1, 5, "a", None)], [])).count() == 1
+
+
+def test_parents_of_one_name_from_two_frames(spark):
+    refs = references(spark, [(1, 10, "a", None), (2, 20, "a", None), (3, 30, "a", None)], [(10, "a", "x")])
+    other = spark.createDataFrame([(20, "a")], "code long, day string")
+    refs += [Reference("three", spark.createDataFrame([(9, 20, "a"), (8, 40, "a")], "row_id long, key long, period string"), "row_id", "key", "period", "parents", other, "code", "day")]
+    assert {tuple(r) for r in orphan_rows(refs).collect()} == {("one", "a", 3), ("three", "a", 8)}
