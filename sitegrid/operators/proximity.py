@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +33,7 @@ def point_cell(lat: Column, lon: Column, height: float) -> Column:
     return F.struct(row.alias("row"), _column(lon, row, height).alias("col"))
 
 
-def _cells_of_box(south: Column, north: Column, west: Column, east: Column, height: float) -> Column:
+def cells_of_box(south: Column, north: Column, west: Column, east: Column, height: float) -> Column:
     """All cells that a box meets, as an array; the box may cross the antimeridian (west below -180 or east above 180)."""
     rows = F.sequence(_row(F.greatest(south, F.lit(-90.0)), height), _row(F.least(north, F.lit(90.0)), height))
 
@@ -61,7 +59,7 @@ def near_points(points: DataFrame, places: DataFrame, metres: float, salts: int
     here = points.where(ok).withColumn("cell", point_cell(F.col("lat"), F.col("lon"), height)).select("point_id", "lat", "lon", "cell.row", "cell.col")
     dlat, dlon = degree_window(F.col("lat"), metres * 1.000001)
     around = places.where(ok).withColumns({"dlat": dlat, "dlon": dlon})
-    box = _cells_of_box(F.col("lat") - F.col("dlat"), F.col("lat") + F.col("dlat"), F.col("lon") - F.col("dlon"), F.col("lon") + F.col("dlon"), height)
+    box = cells_of_box(F.col("lat") - F.col("dlat"), F.col("lat") + F.col("dlat"), F.col("lon") - F.col("dlon"), F.col("lon") + F.col("dlon"), height)
     around = around.select("place_id", F.col("lat").alias("place_lat"), F.col("lon").alias("place_lon"), F.explode(box).alias("cell")).select("place_id", "place_lat", "place_lon", "cell.row", "cell.col")
     pairs = skew_join(here, around, ["row", "col"], "inner", salts, both=True)
     distance = haversine_m(F.col("lat"), F.col("lon"), F.col("place_lat"), F.col("place_lon"))
@@ -84,7 +82,7 @@ def in_regions(points: DataFrame, regions: DataFrame, smallest_m: float = 400.0,
     level = F.least(F.ceil(F.log2(extent / finest)), F.lit(LEVELS)).cast("int")
     cells = F.lit(None)
     for n in range(LEVELS, -1, -1):
-        cells = F.when(F.col("level") == n, _cells_of_box(F.col("south"), F.col("north"), F.col("west"), F.col("east"), finest * 2**n)).otherwise(cells)
+        cells = F.when(F.col("level") == n, cells_of_box(F.col("south"), F.col("north"), F.col("west"), F.col("east"), finest * 2**n)).otherwise(cells)
     hashed = boxed.withColumn("level", level).select("region_id", "ring", "level", F.explode(cells).alias("cell")).select("region_id", "ring", "level", "cell.row", "cell.col")
     used = [r["level"] for r in boxed.select(level.alias("level")).distinct().collect()]
     if not used:
@@ -93,8 +91,3 @@ def in_regions(points: DataFrame, regions: DataFrame, smallest_m: float = 400.0,
     here = points.where(valid_point(F.col("lat"), F.col("lon"))).select("point_id", "lat", "lon", F.explode(everywhere).alias("at")).select("point_id", "lat", "lon", "at.level", "at.cell.row", "at.cell.col")
     pairs = skew_join(here, hashed, ["level", "row", "col"], "inner", salts)
     return pairs.where(in_ring(F.col("lon"), F.col("lat"), F.col("ring"))).select("point_id", "region_id")
-
-
-def rings_to_cover(metres: float, height_m: float) -> int:
-    """Rings of cells of a given height that hold a disk."""
-    return math.ceil(metres / height_m)

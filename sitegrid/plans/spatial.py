@@ -164,7 +164,7 @@ _NN_SQL = f"{POINTS_SQL}, {MARKETS_SQL}, nn as (select pt.id, osm_id, round({_ME
 
 
 def _to_market(spark: SparkSession, folder: str) -> DataFrame:
-    return knn.nearest(coops(spark, folder).select("point_id", "lat", "lon"), markets(spark, folder).select("target_id", "lat", "lon"), first_m=50_000.0)
+    return knn.nearest(coops(spark, folder).select("point_id", "lat", "lon"), markets(spark, folder).select("target_id", "lat", "lon"))
 
 
 @plans.query(f"with {_NN_SQL} select id as point_id, osm_id as target_id, m as distance_m from nn")
@@ -175,7 +175,7 @@ def knn_exact(spark: SparkSession, folder: str) -> DataFrame:
 @plans.query(f"with {POINTS_SQL}, b as (select id as bid, lat, lon from pt), nn as (select pt.id, bid, round({_METRES.format(a='pt', b='b')}, 1) m from pt, b where pt.id <> bid qualify row_number() over (partition by pt.id order by m, bid) = 1) select id as point_id, bid as target_id, m as distance_m from nn")
 def knn_self(spark: SparkSession, folder: str) -> DataFrame:
     p = coops(spark, folder).select("point_id", "lat", "lon")
-    return knn.nearest(p, p.withColumnRenamed("point_id", "target_id"), first_m=20_000.0, self_join=True)
+    return knn.nearest(p, p.withColumnRenamed("point_id", "target_id"), self_join=True)
 
 
 @plans.query(f"with {_NN_SQL} select t as threshold, count(*) filter (where m <= t) as n, round(100.0 * count(*) filter (where m <= t) / count(*), 2) as pct from nn, (values (10000.0::double), (50000.0::double), (100000.0::double), (200000.0::double)) v(t) group by 1")

@@ -7,8 +7,6 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitegrid.session import written
-
 
 def _put(df: DataFrame, path: str, text: str) -> None:
     """A small text file through Hadoop's file system, so any scheme works."""
@@ -66,8 +64,3 @@ def feature_json(geometry_type: str, coordinates: Column, properties: list[str])
 def compact_points(lat: Column, lon: Column, flags: Column, digits: int = 4) -> Column:
     """``[lon,lat,flags]`` as text."""
     return F.concat(F.lit("["), F.format_string(f"%.{digits}f", lon), F.lit(","), F.format_string(f"%.{digits}f", lat), F.lit(","), flags.cast("string"), F.lit("]"))
-
-
-def round_trip(df: DataFrame, name: str) -> DataFrame:
-    """The frame written to the shared folder and read again."""
-    return written(df, name)

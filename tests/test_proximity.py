@@ -3,6 +3,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sitegrid.functions.geo import geodesic_m
@@ -88,6 +89,23 @@ def test_nearest_is_exact(spark):
     assert {r["point_id"]: r["target_id"] for r in found.collect()} == want
 
 
+@pytest.mark.parametrize("self_join", [False, True])
+def test_nearest_with_a_third_at_one_coordinate(spark, self_join):
+    rng = random.Random(18)
+    spots = [(rng.gauss(-2, 0.01), rng.gauss(110, 0.01)) for _ in range(40)] + [(rng.uniform(-80, 80), rng.uniform(-180, 180)) for _ in range(10)] + [(-2.0, 110.0)] * 30 + [(89.9, 10.0), (-89.99, 170.0)]
+    rows = [(i, *p) for i, p in enumerate(spots)] + [(0, *spots[5])]
+    points = spark.createDataFrame(rows, POINTS)
+    targets = points.withColumnRenamed("point_id", "target_id").where(F.lit(self_join) | (F.col("target_id") % 3 == 0))
+    got = {r["point_id"]: (r["target_id"], r["distance_m"]) for r in nearest(points, targets, self_join=self_join).collect()}
+    want = {}
+    for i, *p in rows:
+        for j, *q in rows:
+            if (i != j) if self_join else j % 3 == 0:
+                want[i] = min(want.get(i, (math.inf, 0)), (round(metres(p, q), 1), j))
+    assert {i: d for i, (_, d) in got.items()} == {i: d for i, (d, _) in want.items()}
+    assert {i: j for i, (j, _) in got.items()} == {i: j for i, (_, j) in want.items()}
+
+
 def test_geodesic_on_published_lines(spark):
     # lines of the WGS84 spheroid: a quarter of the equator, a meridian quadrant, and a short line
     rows = [(0.0, 0.0, 0.0, 90.0, 10018754.171), (0.0, 0.0, 90.0, 0.0, 10001965.729), (0.0, 0.0, 0.0, 0.0, 0.0), (None, 0.0, 0.0, 0.0, None)]
