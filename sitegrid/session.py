@@ -19,6 +19,8 @@ DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
+#: Tables of this program that are in the shared folder.
+_TABLES: set[str] = set()
 
 
 def local_session(cores: int | str = "*", memory: str = "6g", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -35,7 +37,8 @@ def local_session(cores: int | str = "*", memory: str = "6g", shuffle_partitions
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (tests, one machine) a temporary folder takes its place.
+    Only where that setting is missing and the session is local (tests, one machine) a temporary folder takes its place; on
+    a cluster that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
@@ -44,6 +47,8 @@ def shared_folder(spark: SparkSession) -> str:
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="sitegrid-")
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     context.setCheckpointDir(folder)
@@ -51,13 +56,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """``df`` as a compressed table in the shared folder: cuts lineage, is computed once and survives lost executors."""
+    """``df`` as a compressed table in the shared folder: cuts lineage, is computed once and survives lost executors.
+
+    The table is removed by :func:`dropped`, by :func:`cleared`, or when the program ends.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._sitegrid_path = path
+    if not _TABLES:
+        atexit.register(_at_end)
+    _TABLES.add(path)
     return out
 
 
@@ -72,6 +83,22 @@ def dropped(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "_sitegrid_path", None)
         if path:
-            spark = df.sparkSession
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            _removed(df.sparkSession, path)
+
+
+def cleared(spark: SparkSession) -> None:
+    """Remove all tables made by :func:`written` that are still there: for a session that runs on after its results are read."""
+    for path in list(_TABLES):
+        _removed(spark, path)
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _TABLES.discard(path)
+
+
+def _at_end() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        cleared(spark)
