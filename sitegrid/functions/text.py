@@ -112,3 +112,20 @@ def sentences(text: Column) -> Column:
 def sentence_with(text: Column, mark: str) -> Column:
     """The first sentence that holds the mark, or null."""
     return F.try_element_at(F.filter(sentences(text), lambda s: s.contains(mark)), F.lit(1))
+
+
+def sentence_at(text: Column, offset: int) -> Column:
+    """The sentence that holds the character at ``offset`` (from 0) of the text with single blanks; null beyond its end."""
+    parts = sentences(text)
+    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast("string").alias("found"))
+    step = lambda done, s: F.struct((done["at"] + F.length(s) + 1).alias("at"), F.when((done["at"] <= offset) & (done["at"] + F.length(s) + 1 > offset), s).otherwise(done["found"]).alias("found"))
+    return F.aggregate(parts, start, step)["found"]
+
+
+#: A comment of a script, or a literal in one of the three kinds of quotes, whichever begins first.
+_LITERAL = r"""/\*[\s\S]*?\*/|//[^\n]*|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\[\s\S]|[^`\\])*`"""
+
+
+def string_literals(script: Column) -> Column:
+    """The string literals of a script with their quotes, in order, as an array; quotes in comments begin none."""
+    return F.filter(F.regexp_extract_all(script, F.lit(_LITERAL), F.lit(0)), lambda m: ~m.startswith("/"))

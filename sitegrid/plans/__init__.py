@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("problems", "profiles", "rollups", "spatial", "statistics", "texts", "files", "details")
+MODULES = ("problems", "profiles", "rollups", "spatial", "statistics", "texts", "files", "details", "further")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -103,20 +103,6 @@ def cartogram_layout(spark: SparkSession, folder: str) -> DataFrame:
     return t.select("province_id", F.floor(at / 8).alias("row"), (at % 8).alias("col"), "n")
 
 
-@plans.query("""with s as (select s_suppkey, case when s_suppkey % 9 = 0 then null else s_acctbal end v from supplier), r as (select s_suppkey, row_number() over (order by v nulls last, s_suppkey) up, row_number() over (order by v desc nulls last, s_suppkey) down from s)
-select 'up' as direction, up as place, s_suppkey from r where up <= 95 union all select 'down', down, s_suppkey from r where down <= 95""")
-def nulls_last_sort(spark: SparkSession, folder: str) -> DataFrame:
-    """The first 95 rows in both directions: nulls come last in either. Only those rows are numbered."""
-    s = table(spark, folder, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 9 != 0, F.col("s_acctbal")).alias("v"))
-    out = None
-    for direction, first in (("up", F.asc_nulls_last("v")), ("down", F.desc_nulls_last("v"))):
-        head = s.orderBy(first, "s_suppkey").limit(95)
-        place = F.row_number().over(Window.partitionBy().orderBy(first, "s_suppkey")).cast("bigint")
-        one = head.select(F.lit(direction).alias("direction"), place.alias("place"), "s_suppkey")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 @plans.query("""with s as (select s_suppkey, case when s_suppkey % 9 = 0 then null else s_acctbal end v from supplier), r as (select s_suppkey, row_number() over (order by v nulls last, s_suppkey) up, row_number() over (order by v desc nulls last, s_suppkey) down from s)
 select 'up' as direction, up as place, s_suppkey from r union all select 'down', down, s_suppkey from r""")
 def nulls_last_places(spark: SparkSession, folder: str) -> DataFrame:
@@ -218,11 +204,6 @@ def sampled_requery(spark: SparkSession, folder: str) -> DataFrame:
     return both.agg(F.count(F.lit(1)).alias("sampled"), F.count_if(found).alias("found"), F.count_if(found & ~F.col("a").eqNullSafe(F.col("b"))).alias("changed"))
 
 
-@plans.query("select c_custkey, case when c_custkey % 3 = 0 then 'yes' else 'no' end as flag, coalesce(nullif(c_mktsegment, 'FURNITURE'), 'none') as segment from customer where c_acctbal between 1000 and 2000")
-def recode_and_fill(spark: SparkSession, folder: str) -> DataFrame:
-    return _recoded(table(spark, folder, "customer").where(F.col("c_acctbal").between(1000, 2000)))
-
-
 @plans.query("select c_custkey, case when c_custkey % 3 = 0 then 'yes' else 'no' end as flag, coalesce(nullif(c_mktsegment, 'FURNITURE'), 'none') as segment from customer")
 def recode_and_fill_all(spark: SparkSession, folder: str) -> DataFrame:
     return _recoded(table(spark, folder, "customer"))

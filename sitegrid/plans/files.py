@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,18 +102,13 @@ def sorted_index_lookup(spark: SparkSession, folder: str) -> DataFrame:
     return index.where(F.col("p").isin(busiest)).select(x.alias("x"), y.alias("y"), "n")
 
 
-@plans.query("""select 'nation' as table_name, 'n_nationkey' as "column", 'int' as "type", count(*) as n_rows, count(n_nationkey) as n_known, count(distinct n_nationkey) as n_distinct from nation union all select 'nation', 'n_name', 'string', count(*), count(n_name), count(distinct n_name) from nation union all select 'nation', 'n_regionkey', 'int', count(*), count(n_regionkey), count(distinct n_regionkey) from nation""")
+@plans.query("""select 'nation' as table_name, 'n_nationkey' as "column", 'int' as "type", count(*) as n_rows, count(n_nationkey) as n_known, count(distinct n_nationkey) as n_distinct from nation union all select 'nation', 'n_name', 'string', count(*), count(n_name), count(distinct n_name) from nation union all select 'nation', 'n_regionkey', 'int', count(*), count(n_regionkey), count(distinct n_regionkey) from nation
+union all select 'region', 'r_regionkey', 'int', count(*), count(r_regionkey), count(distinct r_regionkey) from region union all select 'region', 'r_name', 'string', count(*), count(r_name), count(distinct r_name) from region
+union all select 'supplier', 's_suppkey', 'bigint', count(*), count(s_suppkey), count(distinct s_suppkey) from supplier union all select 'supplier', 's_name', 'string', count(*), count(s_name), count(distinct s_name) from supplier
+union all select 'supplier', 's_nationkey', 'int', count(*), count(s_nationkey), count(distinct s_nationkey) from supplier union all select 'supplier', 's_acctbal', 'double', count(*), count(s_acctbal), count(distinct s_acctbal::varchar) from supplier""")
 def schema_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    return sinks.table_manifest(table(spark, folder, "nation"), "nation")
-
-
-@plans.query("select count(*) as n_files, 64 as hash_length from (values (1)) t(x)")
-def hash_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """Files of a written table with their size and hash."""
-    path = _place(spark, "hashed")
-    table(spark, folder, "region").coalesce(1).write.parquet(path)
-    m = files.file_manifest(spark, path, "*.parquet")
-    return m.agg(F.count(F.lit(1)).alias("n_files"), F.max(F.length("sha256")).alias("hash_length"))
+    """Columns, types and counts of three tables."""
+    return reduce(DataFrame.unionByName, [sinks.table_manifest(table(spark, folder, t), t) for t in ("nation", "region", "supplier")])
 
 
 @plans.query("select strftime(snapshot_date, '%Y-%m-%d') as snapshot, count(*) as n from stats_province where snapshot_date in (date '2026-08-09', date '2026-08-17') group by 1")

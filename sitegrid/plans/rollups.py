@@ -165,12 +165,6 @@ def village_link(spark: SparkSession, folder: str) -> DataFrame:
     return stars.name_path_join(assets, v, names, ["village_id", "transaction_value"], ["village_id"]).select("asset_id", "village_id", "transaction_value", F.col("village_id").isNotNull().alias("linked"))
 
 
-@plans.query("""select l_orderkey, l_linenumber, o_custkey from lineitem join orders on l_orderkey = o_orderkey where o_orderstatus = 'P'""")
-def guarded_join(spark: SparkSession, folder: str) -> DataFrame:
-    o = table(spark, folder, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    return join_unique(table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber"), o, ["l_orderkey"], "inner")
-
-
 @plans.query("""select l_orderkey, l_linenumber, o_custkey from lineitem left join orders on l_orderkey = o_orderkey""")
 def guarded_left_join(spark: SparkSession, folder: str) -> DataFrame:
     """Every line with its order's customer: as many rows as lines."""

@@ -147,17 +147,18 @@ def catchment_sum(spark: SparkSession, folder: str) -> DataFrame:
     return rings.catchments(in_cells(coops(spark, folder)), in_cells(assets(spark, folder)), 2, "within_2")
 
 
-@plans.query("""with r as (select distinct osm_id, [struct_pack(x := ring[1].x, y := ring[1].y), struct_pack(x := ring[len(ring) // 2 + 1].x, y := ring[len(ring) // 2 + 1].y)] e from landuse_features where osm_type = 'way' and len(ring) > 2),
-l as (select osm_id, cast(floor(e[1].y * 1000000) as bigint) a1, cast(floor(e[1].x * 1000000) as bigint) o1, cast(floor(e[2].y * 1000000) as bigint) a2, cast(floor(e[2].x * 1000000) as bigint) o2 from r), n as (select *, greatest(1, cast(ceil(greatest(abs(a2 - a1), abs(o2 - o1)) / 100) as bigint)) n from l),
-s as (select osm_id, a1 + cast(floor((a2 - a1) * i / n) as bigint) la, o1 + cast(floor((o2 - o1) * i / n) as bigint) lo from (select *, unnest(range(0, n + 1)) i from n))
-select distinct osm_id as line_id, (lo + 180000000) // 500 as x, (la + 90000000) // 500 as y from s""")
+@plans.query("""with r as (select distinct osm_id, lower(class) as class, ring from landuse_features where osm_type = 'way' and len(ring) > 2), g as (select osm_id, class, ring, unnest(range(1, len(ring))) j from r),
+l as (select osm_id, class, cast(floor(ring[j].y * 1000000) as bigint) a1, cast(floor(ring[j].x * 1000000) as bigint) o1, cast(floor(ring[j + 1].y * 1000000) as bigint) a2, cast(floor(ring[j + 1].x * 1000000) as bigint) o2 from g), n as (select *, greatest(1, cast(ceil(greatest(abs(a2 - a1), abs(o2 - o1)) / 100) as bigint)) n from l),
+s as (select osm_id, class, a1 + cast(floor((a2 - a1) * i / n) as bigint) la, o1 + cast(floor((o2 - o1) * i / n) as bigint) lo from (select *, unnest(range(0, n + 1)) i from n))
+select distinct osm_id as line_id, class, (lo + 180000000) // 500 as x, (la + 90000000) // 500 as y from s""")
 def line_rasterise(spark: SparkSession, folder: str) -> DataFrame:
-    """Cells of about 55 m met by a line across each way, from its first to its middle point."""
-    ways = table(spark, folder, "landuse_features").where((F.col("osm_type") == "way") & (F.size("ring") > 2))
-    a, b = F.col("ring")[0], F.element_at("ring", (F.floor(F.size("ring") / 2) + 1).cast("int"))
-    lines = ways.select(F.col("osm_id").alias("line_id"), grid.micro(a["y"]).alias("lat1"), grid.micro(a["x"]).alias("lon1"), grid.micro(b["y"]).alias("lat2"), grid.micro(b["x"]).alias("lon2")).distinct()
+    """Cells of about 55 m met by the line of each way, from vertex to vertex, with the way's class."""
+    ways = table(spark, folder, "landuse_features").where((F.col("osm_type") == "way") & (F.size("ring") > 2)).select(F.struct("osm_id", F.lower("class").alias("class")).alias("line_id"), "ring").distinct()
+    n = F.size("ring") - 1
+    whole = lambda p, axis: grid.micro(p[axis])
+    legs = F.zip_with(F.slice("ring", F.lit(1), n), F.slice("ring", F.lit(2), n), lambda a, b: F.struct(whole(a, "y").alias("lat1"), whole(a, "x").alias("lon1"), whole(b, "y").alias("lat2"), whole(b, "x").alias("lon2")))
     x, y = grid.cell_xy(F.col("cell"))
-    return grid.rasterised(lines, 100, base=500).select("line_id", x.alias("x"), y.alias("y"))
+    return grid.rasterised(ways.select("line_id", F.inline(legs)), 100, base=500).select(F.col("line_id.osm_id").alias("line_id"), "line_id.class", x.alias("x"), y.alias("y"))
 
 
 _NN_SQL = f"{POINTS_SQL}, {MARKETS_SQL}, nn as (select pt.id, osm_id, round({_METRES.format(a='pt', b='mk')}, 1) m from pt, mk qualify row_number() over (partition by pt.id order by m, osm_id) = 1)"

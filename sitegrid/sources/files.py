@@ -115,3 +115,43 @@ def tile_name(lat: Column, lon: Column, size: int = 1) -> Column:
     """Name of the tile that holds a point by its south-west corner, such as ``S03E117``; also right between -size and 0."""
     south, west = F.floor(lat / size) * size, F.floor(lon / size) * size
     return F.concat(F.when(south < 0, "S").otherwise("N"), F.lpad(F.abs(south).cast("string"), 2, "0"), F.when(west < 0, "W").otherwise("E"), F.lpad(F.abs(west).cast("string"), 3, "0"))
+
+
+def page_of_path(path: Column) -> Column:
+    """The page a file made by :func:`sitegrid.sources.sinks.write_pages` holds."""
+    return F.url_decode(F.regexp_replace(F.regexp_extract(path, "/page=([^/]+)/", 1), "%25", "%"))
+
+
+def read_site(spark: SparkSession, folder: str, excluded: Sequence[str] = ()) -> DataFrame:
+    """``page, html`` of the pages that :func:`sitegrid.sources.sinks.write_pages` wrote below a folder."""
+    files = read_pages(spark, folder, "*.txt", excluded)
+    return files.select(page_of_path(F.col("path")).alias("page"), F.regexp_replace("text", "\n$", "").alias("html"))
+
+
+def decrypted(df: DataFrame, payload: str, key: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Records of base64 payloads encrypted by AES in CBC mode with padding, and the payloads that can't be read.
+
+    A payload is damaged if it isn't base64, doesn't decrypt with the key, or isn't a JSON record.
+    """
+    plain = F.try_aes_decrypt(F.try_to_binary(payload, F.lit("base64")), F.lit(key), F.lit("CBC"), F.lit("PKCS")).cast("string")
+    marked = df.withColumn("__record", F.from_json(plain, schema, {"mode": "PERMISSIVE"}))
+    first = schema.split()[0]
+    good = F.col(f"__record.{first}").isNotNull()
+    return marked.where(good).select("__record.*"), marked.where(~good).select(payload)
+
+
+def decoded_point(text: Column) -> list[Column]:
+    """``lon, lat, flags`` of a compact point ``[lon,lat,flags]``; nulls where it isn't one."""
+    parts = F.from_json(text, "array<double>")
+    return [F.get(parts, F.lit(0)).alias("lon"), F.get(parts, F.lit(1)).alias("lat"), F.get(parts, F.lit(2)).cast("int").alias("flags")]
+
+
+def flatten_level(df: DataFrame, separator: str = "_") -> DataFrame:
+    """The columns with each struct replaced by its fields, named after both; structs within them stay as they are."""
+    out = []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, T.StructType):
+            out += [F.col(f"{f.name}.{inner}").alias(f"{f.name}{separator}{inner}") for inner in f.dataType.names]
+        else:
+            out.append(F.col(f.name))
+    return df.select(*out)

@@ -64,3 +64,13 @@ def feature_json(geometry_type: str, coordinates: Column, properties: list[str])
 def compact_points(lat: Column, lon: Column, flags: Column, digits: int = 4) -> Column:
     """``[lon,lat,flags]`` as text."""
     return F.concat(F.lit("["), F.format_string(f"%.{digits}f", lon), F.lit(","), F.format_string(f"%.{digits}f", lat), F.lit(","), flags.cast("string"), F.lit("]"))
+
+
+def write_pages(pages: DataFrame, folder: str) -> None:
+    """``page, html`` as files, one for each page, below ``folder/page=.../``: written by the tasks side by side."""
+    pages.select("page", F.col("html").alias("value")).repartition("page").write.partitionBy("page").mode("overwrite").text(folder)
+
+
+def append_to(spark: SparkSession, path: str, incoming: DataFrame, key: str) -> None:
+    """Append to the registry at ``path`` what it doesn't have yet; running it again adds nothing."""
+    append_new(spark.read.parquet(path), incoming, key).write.mode("append").parquet(path)
