@@ -46,6 +46,7 @@ def has_all_tokens(text: Column, query: str) -> Column:
 
 def match_score(text: Column, query: str) -> Column:
     """100 for equal, 80 for a beginning, 60 for the beginning of a word, 30 for a part, else 0 (also for null)."""
+    # fixed values: these four scores
     t, q = F.lower(F.trim(text)), query.lower().strip()
     return F.coalesce(F.when(t == q, 100).when(t.startswith(q), 80).when(F.concat(F.lit(" "), t).contains(" " + q), 60).when(t.contains(q), 30), F.lit(0))
 
@@ -56,7 +57,11 @@ def published_number(value: Column, digits: int = 0, suffix: str = "") -> Column
     return F.concat(F.translate(F.format_number(exact, digits), ",.", ".,"), F.lit(suffix))
 
 
-def distance_label(metres: Column, beyond: str = "> 5 km") -> Column:
+#: Fixed value: what is printed for a distance that isn't known.
+BEYOND = "> 5 km"
+
+
+def distance_label(metres: Column, beyond: str = BEYOND) -> Column:
     """Metres below 1 km, kilometres with one decimal above; null means nothing was found within the search.
 
     Kilometres are rounded by their exact binary value, as SQL prints them, halves to the even digit: format_string alone

@@ -134,15 +134,16 @@ def top_item_per_group(spark: SparkSession, folder: str) -> DataFrame:
     return profile.top_item(named, ["pull_id", "province_id"], "product", "value")
 
 
-PRODUCT_RULES = [("beras", "rice"), ("minyak", "cooking_oil"), ("pupuk", "fertiliser"), ("gas", "gas"), ("gula", "sugar"), ("jasa", "services")]
+#: How a product line is sold, by words in its name; the first that occurs decides.
+SALE_RULES = [("curah", "loose"), ("karung", "sack"), ("dus", "box"), ("kemasan", "packet"), (" kg", "by weight"), (" ml", "by volume"), (" l", "by volume")]
 
 
-@plans.query(f"""with c as (select case {' '.join(f"when lower(product) like '%{k}%' then '{v}'" for k, v in PRODUCT_RULES)} else 'other' end category, value from kopdes_province_top_products where product is not null)
+@plans.query(f"""with c as (select case {' '.join(f"when lower(product) like '%{k}%' then '{v}'" for k, v in SALE_RULES)} else 'other' end category, value from kopdes_province_top_products where product is not null)
 select category, count(*) as n, cast(sum(cast(floor(value) as bigint)) as bigint) as value from c where value is not null and not isnan(value) group by 1""")
 def category_rules(spark: SparkSession, folder: str) -> DataFrame:
     name = F.lower("product")
     rows = table(spark, folder, "kopdes_province_top_products").where(F.col("product").isNotNull() & F.col("value").isNotNull() & ~F.isnan("value"))
-    labelled = rows.withColumn("category", first_rule([(name.contains(k), v) for k, v in PRODUCT_RULES], "other"))
+    labelled = rows.withColumn("category", first_rule([(name.contains(k), v) for k, v in SALE_RULES], "other"))
     return labelled.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor("value").cast("decimal(38,0)")).cast("bigint").alias("value"))
 
 
