@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sitegrid.llm import leakage, mixing, splitting
 from sitegrid.llm.tokens import VOCABULARY, Tokenizer, token_sizes
@@ -124,6 +125,48 @@ def test_mix_meets_shares_and_caps(spark):
     assert report["d"]["n_rows"] == 0 and abs(sum(r["actual_share"] for r in report.values()) - 1) < 1e-9
 
 
+@pytest.mark.parametrize("shards", [1, 2, 3, 7, 40, 257])
+def test_subtrees_of_tasks_make_the_whole_tree(shards):
+    blocks = [300, 0, 41, 7]
+    whole = mixing.split_quotas(blocks, shards, 3)
+    for depth in (0, 1, 3):
+        parts = [x for n in range(1 << depth) for x in mixing.subtree_quotas(blocks, shards, 3, [n >> k & 1 for k in reversed(range(depth))])]
+        assert sorted(p[0] for p in parts) == list(range(shards))
+        for shard, have, before in parts:
+            assert have.tolist() == whole[shard].tolist() and before.tolist() == whole[:shard].sum(0).tolist()
+
+
+def test_draws_from_more_blocks_than_the_library_takes():
+    have, rng = np.array([2_000_000_000, 5, 3_000_000_000, 0], np.int64), np.random.default_rng(1)
+    got = mixing._drawn(have, 2_500_000_000, rng)
+    assert got.sum() == 2_500_000_000 and (got >= 0).all() and (got <= have).all() and abs(got[0] - 1_000_000_000) < 200_000
+    assert mixing.split_quotas(have.tolist(), 3, 1).sum(0).tolist() == have.tolist()
+
+
+def test_mix_fills_quotas_past_oversized_rows_and_spreads_copies(spark):
+    rows = [(i, "a", 50 + i % 7) for i in range(2000)] + [(5000 + i, "b", 9000 if i % 40 == 0 else 60) for i in range(800)] + [(9999, "a", 100)] * 1000
+    sizes = spark.createDataFrame(rows, "id long, source string, n_tokens long")
+    goals = targets(spark, [("a", 0.75, 1), ("b", 0.25, 1)])
+    mix = mixing.mix_sources(sizes, goals, "id", total=80_000, shard_tokens=5_000, block_tokens=200).cache()
+    tokens = {r["source"]: r["t"] for r in mix.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
+    assert 59_900 <= tokens["a"] <= 60_000 and 19_930 <= tokens["b"] <= 20_000
+    got = mix.toPandas()
+    for i, g in got[got.id != 9999].groupby("id"):
+        assert len(g) == 1
+    assert 100 < (got.id == 9999).sum() <= 1000
+    sizes_of = got.groupby("shard").n_tokens.sum()
+    assert len(sizes_of) == 16 and sizes_of.sum() == sum(tokens.values())
+
+
+def test_mix_has_no_most_shards_or_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SUBTREE_SHARDS", 4)
+    rows = [(i, f"s{i % 60}", 10) for i in range(6000)]
+    mix = mixing.mix_sources(spark.createDataFrame(rows, "id long, source string, n_tokens long"), targets(spark, [(f"s{i}", 1 / 60, 1) for i in range(60)]), "id", shard_tokens=500, block_tokens=20).cache()
+    assert mix.count() == 6000 and mix.select("id").distinct().count() == 6000
+    per = [r["t"] for r in mix.groupBy("shard").agg(F.sum("n_tokens").alias("t")).collect()]
+    assert len(per) == 120 and max(per) - min(per) <= 20 * 8
+
+
 def test_mix_of_nothing_and_of_a_given_total(spark):
     sizes = spark.createDataFrame([(i, "a", 10) for i in range(100)] + [(1000 + i, "b", 10) for i in range(100)], "id long, source string, n_tokens long")
     assert mixing.mix_sources(sizes, targets(spark, []), "id").count() == 0
