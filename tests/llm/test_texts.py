@@ -49,7 +49,7 @@ def greedy(tokenizer, text, limit, overlap):
         reach = min(start + limit, n)
         end = n if reach == n else -1
         for marks in levels:
-            if end <= max(cut, overlap):
+            if end <= max(cut, overlap, start + int(limit * splitting.LEAST_FILL) - 1):
                 end = max(p for p in range(reach + 1) if marks[p])
         out.append((start, end))
         cut = end
@@ -79,6 +79,28 @@ def test_pieces_equal_the_walk_and_give_the_text_again(tokenizer, limit, overlap
         assert again == text and pieces[0][3] == 0
 
 
+def test_pieces_end_at_the_most_natural_place_and_none_is_small(tokenizer):
+    rng = random.Random(3)
+    sentence = lambda n: " ".join(rng.choice(WORDS) for _ in range(n)).capitalize() + "."
+    paragraphs = "\r\n\r\n".join(" ".join(sentence(12) for _ in range(4)) for _ in range(60))
+    wrapped = "\n".join(" ".join(sentence(9) for _ in range(3)).replace(". ", ".\n", 1) for _ in range(80))
+    rows = "\n".join("| kab. lodawe | 12 | padi |" for _ in range(400))
+    far = sentence(20) + "\n\n" + "kata " * 3000
+    kinds = {}
+    for found in splitting.split_texts(list(enumerate([paragraphs, wrapped, rows, far])), tokenizer, 300, 40):
+        for row, n, kind, no, of in zip(found["row"], found["n_tokens"], found["cut_at"], found["piece_no"], found["n_pieces"], strict=True):
+            assert n <= 300 and (n >= 150 or no == of - 1)
+            kinds.setdefault(int(row), set()).add(kind)
+    assert kinds == {0: {"paragraph", "end"}, 1: {"sentence", "end"}, 2: {"line", "end"}, 3: {"word", "end"}}
+    data = b"Kab. Lodawe no. 5\r\nabc def.\n \nnext one! end"
+    ids = np.arange(len(data))
+    offset, paragraph, ends, line, *_ = splitting._places(ids, data, np.ones(len(data), int))
+    assert np.flatnonzero(paragraph)[1:].tolist() == [data.index(b"next")] and np.flatnonzero(ends)[1:].tolist() == [data.index(b".\n") + 1, data.index(b" end")]
+    assert np.flatnonzero(line)[1:].tolist() == [data.index(b"abc"), data.index(b"next")]
+    _, _, ends, *_ = splitting._places(ids, data, np.ones(len(data), int), ())
+    assert data.index(b" Lodawe") in np.flatnonzero(ends)
+
+
 def test_split_of_a_table(spark, tokenizer):
     rng = random.Random(9)
     rows = [(1, prose(rng, 3000), "x"), (2, "short", "x"), (3, None, "x"), (4, "", "x"), (1, prose(rng, 3000), "x")]
