@@ -43,7 +43,7 @@ def top_n(df: DataFrame, group: list[str], n: int, order: list[tuple[str, str]],
     are alike). The first column is the score: numeric and descending; rows without one (null or NaN) have no rank. Null
     group values form a group of their own.
 
-    The rows are written once, split by score bands. Bands are read from the top; a band's rows of groups that
+    The rows are written once for the bands' edges and once split by bands. Bands are read from the top; a band's rows of groups that
     are already full are removed by an anti-join, those of the others are kept, and groups that now have ``n`` are full.
     A group's last band may hold more than it needs: it is cut by an exact ranking, first within ``salts`` parts of the
     group, of which each keeps ``n``, then among those. So neither a group of any size nor a tie of any length is sorted
@@ -56,12 +56,14 @@ def top_n(df: DataFrame, group: list[str], n: int, order: list[tuple[str, str]],
     marks = [f"__g{i}" for i in range(len(group))]
     # a null group value can't be joined on: it becomes a marked text
     rows = df.select(*columns).where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))).withColumns({m: F.coalesce(F.concat(F.lit("v"), F.col(g).cast("string")), F.lit("null")) for m, g in zip(marks, group, strict=True)})
+    rows = written(rows, "scored-rows")  # read for the edges and for the bands
     # -inf stands below every edge, so band numbers cover all scores
     edges = band_edges(rows.select(F.col(score).cast("double").alias(score)), score, bands)
     band = F.lit(0)
     for e in edges:
         band = band + (F.col(score) < F.lit(e)).cast("int")
     stored = written(rows.withColumn("__band", band), "score-bands", ["__band"])
+    dropped(rows)
 
     def ranking(*by: str | Column) -> Column:
         keys = [F.desc_nulls_last(c) if d == "desc" else F.asc_nulls_last(c) for c, d in order]
