@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 
 from sitegrid.functions.geo import METRES_PER_DEGREE, degree_window, valid_point
 from sitegrid.operators.proximity import cells_of_box, near_points, point_cell
-from sitegrid.operators.skew import skew_join
-from sitegrid.session import written
+from sitegrid.operators.skew import LEAST_ROWS, skew_join
+from sitegrid.session import dropped, written
 
 #: Heights of the search's cells, each GROWTH times the one before; the last ones hold the globe.
 FINEST_M, GROWTH, HEIGHTS = 50.0, 4.0, 10
 #: The search starts at the largest height of which no cell holds more distinct places than this.
-MOST_IN_CELL = 64
+MOST_IN_CELL = 16
 #: A point whose cell is within a height of a place is no farther from it than this many heights.
 REACH = 4.0
 #: Queries (vectors) that are broadcast together.
@@ -65,7 +65,8 @@ def nearest(points: DataFrame, targets: DataFrame, within_m: float = HALF_GLOBE_
     """
     from_ = points.where(valid_point(F.col("lat"), F.col("lon"))).select("point_id", "lat", "lon")
     there = written(_places(targets.where(valid_point(F.col("lat"), F.col("lon"))).select("target_id", "lat", "lon").distinct(), self_join), "places")
-    left = from_.select("lat", "lon").distinct()
+    left = written(from_.select("lat", "lon").distinct(), "unresolved")
+    copies = 9 * there.count()  # a place is in about so many cells
     start = first_height(there) if first_m is None else max(0, math.floor(math.log(first_m / FINEST_M, GROWTH)))
     found: list[DataFrame] = []
     for i in range(start, HEIGHTS):
@@ -75,7 +76,7 @@ def nearest(points: DataFrame, targets: DataFrame, within_m: float = HALF_GLOBE_
         here = left.withColumn("point_id", F.struct("lat", "lon"))
         if not last:
             here = _beside(here, there, height_of(i))
-        pairs = near_points(here, there.withColumnRenamed("target_id", "place_id"), radius).select("point_id", F.col("place_id").alias("target_id"), F.round("distance_m", digits).alias("distance_m"))
+        pairs = near_points(here, there.withColumnRenamed("target_id", "place_id"), radius, few=max(copies, left.count()) < LEAST_ROWS).select("point_id", F.col("place_id").alias("target_id"), F.round("distance_m", digits).alias("distance_m"))
         best = pairs.groupBy("point_id", "target_id").agg(F.min("distance_m").alias("distance_m"))
         rank = F.row_number().over(Window.partitionBy("point_id").orderBy("distance_m", "target_id"))
         best = best.withColumn("n", rank).where(F.col("n") <= (2 if self_join else 1)).select("point_id.lat", "point_id.lon", "n", "target_id", "distance_m")
@@ -85,8 +86,11 @@ def nearest(points: DataFrame, targets: DataFrame, within_m: float = HALF_GLOBE_
         found.append(best)
         # of two candidates one isn't the point itself
         done = best.where(F.col("n") == (2 if self_join else 1)).select("lat", "lon")
-        left = written(left.join(done, ["lat", "lon"], "left_anti"), "unresolved")
-        if last or left.isEmpty():
+        if last:
+            break
+        before, left = left, written(left.join(done, ["lat", "lon"], "left_anti"), "unresolved")
+        dropped(before)
+        if left.isEmpty():
             break
     candidates = skew_join(from_, reduce(DataFrame.unionByName, found).drop("n"), ["lat", "lon"])
     if self_join:

@@ -46,13 +46,13 @@ def cells_of_box(south: Column, north: Column, west: Column, east: Column, heigh
     return F.flatten(F.transform(rows, of_row))
 
 
-def near_points(points: DataFrame, places: DataFrame, metres: float, salts: int = 32) -> DataFrame:
+def near_points(points: DataFrame, places: DataFrame, metres: float, salts: int = 32, few: bool = False) -> DataFrame:
     """Pairs ``point_id, place_id, distance_m`` within ``metres`` on the sphere.
 
     ``points(point_id, lat, lon)`` and ``places(place_id, lat, lon)``; cells are as high as the radius, so a place is
     copied to the three rows by three or so columns of cells around it and a point is in one cell; the great-circle
     distance decides. Null, NaN and impossible coordinates are near nothing; several rows of an id give several pairs.
-    A cell with a large part of the points is salted.
+    A cell with a large part of the points or of the places is salted; ``few`` says that there aren't enough rows for that.
     """
     height = metres / METRES_PER_DEGREE * 1.000001
     ok = valid_point(F.col("lat"), F.col("lon"))
@@ -61,7 +61,7 @@ def near_points(points: DataFrame, places: DataFrame, metres: float, salts: int
     around = places.where(ok).withColumns({"dlat": dlat, "dlon": dlon})
     box = cells_of_box(F.col("lat") - F.col("dlat"), F.col("lat") + F.col("dlat"), F.col("lon") - F.col("dlon"), F.col("lon") + F.col("dlon"), height)
     around = around.select("place_id", F.col("lat").alias("place_lat"), F.col("lon").alias("place_lon"), F.explode(box).alias("cell")).select("place_id", "place_lat", "place_lon", "cell.row", "cell.col")
-    pairs = skew_join(here, around, ["row", "col"], "inner", salts, both=True)
+    pairs = skew_join(here, around, ["row", "col"], "inner", salts, hot={} if few else None, both=not few)
     distance = haversine_m(F.col("lat"), F.col("lon"), F.col("place_lat"), F.col("place_lon"))
     return pairs.withColumn("distance_m", distance).where(F.col("distance_m") <= metres).select("point_id", "place_id", "distance_m")
 
