@@ -70,8 +70,8 @@ def in_regions(points: DataFrame, regions: DataFrame, smallest_m: float = 400.0,
     """Pairs ``point_id, region_id`` of points inside rings: ``points(point_id, lat, lon)``, ``regions(region_id, ring)``.
 
     A region is hashed on the level of a nested grid whose cells are about as large as its box, so it meets a few cells
-    whatever its size; a point is in one cell of each level that some region uses (at most 17). The even-odd rule
-    decides. Rings need not be closed; a ring with a null, fewer than three points or none holds nothing. Regions are
+    whatever its size; a point is in one cell of each level that some region uses (at most 17). Points meet boxes first;
+    rings join only the pairs whose point is in the box, and the even-odd rule decides. Rings need not be closed; a ring with a null, fewer than three points or none holds nothing. Regions are
     given in one piece, not across the antimeridian.
     """
     finest = smallest_m / METRES_PER_DEGREE
@@ -83,11 +83,14 @@ def in_regions(points: DataFrame, regions: DataFrame, smallest_m: float = 400.0,
     cells = F.lit(None)
     for n in range(LEVELS, -1, -1):
         cells = F.when(F.col("level") == n, cells_of_box(F.col("south"), F.col("north"), F.col("west"), F.col("east"), finest * 2**n)).otherwise(cells)
-    hashed = boxed.withColumn("level", level).select("region_id", "ring", "level", F.explode(cells).alias("cell")).select("region_id", "ring", "level", "cell.row", "cell.col")
+    box = ["west", "east", "south", "north"]
+    boxed = boxed.withColumn("__key", F.xxhash64("region_id", "ring"))
+    hashed = boxed.withColumn("level", level).select("__key", *box, "level", F.explode(cells).alias("cell")).select("__key", *box, "level", "cell.row", "cell.col").distinct()
     used = [r["level"] for r in boxed.select(level.alias("level")).distinct().collect()]
     if not used:
         return points.sparkSession.createDataFrame([], f"point_id {dict(points.dtypes)['point_id']}, region_id {dict(regions.dtypes)['region_id']}")
     everywhere = F.array(*[F.struct(F.lit(n).alias("level"), point_cell(F.col("lat"), F.col("lon"), finest * 2**n).alias("cell")) for n in sorted(used)])
     here = points.where(valid_point(F.col("lat"), F.col("lon"))).select("point_id", "lat", "lon", F.explode(everywhere).alias("at")).select("point_id", "lat", "lon", "at.level", "at.cell.row", "at.cell.col")
-    pairs = skew_join(here, hashed, ["level", "row", "col"], "inner", salts)
+    met = skew_join(here, hashed, ["level", "row", "col"], "inner", salts).where(F.col("lat").between(F.col("south"), F.col("north")) & F.col("lon").between(F.col("west"), F.col("east")))
+    pairs = skew_join(met.select("point_id", "lat", "lon", "__key"), boxed.select("__key", "region_id", "ring"), ["__key"], "inner", salts)
     return pairs.where(in_ring(F.col("lon"), F.col("lat"), F.col("ring"))).select("point_id", "region_id")

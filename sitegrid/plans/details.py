@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitegrid.functions.bands import half_open, ramp, recode
-from sitegrid.functions.similarity import block_similarity
+from sitegrid.functions.similarity import block_bound, block_similarity
 from sitegrid.operators import grid, rasters
 from sitegrid.operators.profile import long_form
 from sitegrid.operators.stars import folded
@@ -53,7 +53,8 @@ def similar_districts(spark: SparkSession, folder: str) -> DataFrame:
     listed = villages(spark, folder, "province", "district").select(folded("province").alias("p"), folded("district").alias("listed")).dropna().distinct()
     typed = table(spark, folder, "land_assets").select(folded("province").alias("p"), folded("district").alias("typed")).dropna().distinct()
     unknown = typed.join(listed.withColumnRenamed("listed", "typed"), ["p", "typed"], "left_anti")
-    scored = unknown.join(listed, "p").withColumn("similarity", F.round(block_similarity("typed", "listed"), 4)).where("similarity >= 0.82")
+    near = unknown.join(listed, "p").where((F.length("typed") > 0) & (block_bound(F.col("typed"), F.col("listed")) >= 0.8199))
+    scored = near.withColumn("similarity", F.round(block_similarity("typed", "listed"), 4)).where("similarity >= 0.82")
     return scored.groupBy("p", "typed").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "listed")).alias("b")).select(F.col("p").alias("province"), "typed", F.col("b.listed").alias("listed"), (-F.col("b.s")).alias("similarity"))
 
 

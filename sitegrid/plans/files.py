@@ -15,7 +15,7 @@ from sitegrid.plans.spatial import POINTS_SQL, coops, in_cells
 from sitegrid.session import shared_folder
 from sitegrid.sources import files, sinks
 from sitegrid.sources.tables import table, table_or_empty
-from sitegrid.streaming.registry import drained, stream_table, windowed_counts, without_repeats
+from sitegrid.streaming.registry import drained, stream_table, windowed_counts, with_late_rows, without_repeats
 
 plans = Plans()
 
@@ -172,6 +172,15 @@ def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return drained(stream, "events").select("event_id", "user_id", "event_type")
 
 
+@plans.query("select distinct event_id, user_id, event_type from events")
+def stream_late_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Events delivered in several files, one a batch: those on time each once, and the late ones from their own table."""
+    path = _place(spark, "deliveries")
+    table(spark, folder, "events").select("event_id", "ts", "user_id", "event_type").repartition(4, "event_id").write.parquet(f"{path}/events.parquet")
+    rows, late = with_late_rows(stream_table(spark, path, "events", files_per_batch=1), ["event_id"], "ts", "10 days")
+    return rows.unionByName(late).select("event_id", "user_id", "event_type").distinct()
+
+
 @plans.query("select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, event_type, count(*) as n from events group by 1, 2")
 def stream_windows(spark: SparkSession, folder: str) -> DataFrame:
     counts = drained(windowed_counts(stream_table(spark, folder, "events").select("ts", "event_type"), "ts", "event_type"), "rates", complete=True)

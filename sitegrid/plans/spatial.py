@@ -319,7 +319,26 @@ def polyline_length(spark: SparkSession, folder: str) -> DataFrame:
     return regions(spark, folder).select(F.col("region_id").alias("line_id"), F.round(F.aggregate(legs, F.lit(0.0), lambda s, d: s + d), 1).alias("length_m"))
 
 
-@plans.query()
+# Vincenty's inverse formula (1975), repeated for all pairs until the longitude on the auxiliary sphere settles
+_GEODESIC_SQL = f"""with recursive {_NN_SQL}, k(f, a) as (values (1 / 298.257223563::double, 6378137.0::double)),
+ends as (select nn.id, nn.osm_id, atan((1 - f) * tan(radians(pt.lat))) u1, atan((1 - f) * tan(radians(mk.lat))) u2, radians(mk.lon - pt.lon) l, f from nn join pt using (id) join (select distinct osm_id, lat, lon from mk) mk using (osm_id), k),
+it(id, osm_id, u1, u2, l, f, lam, moved, i) as (
+  select id, osm_id, u1, u2, l, f, l, 1.0::double, 0 from ends
+  union all
+  select id, osm_id, u1, u2, l, f, following, abs(following - lam), i + 1 from (
+    select *, l + (1 - c) * f * sa * (sigma + c * ss * (cm + c * cs * (2 * cm * cm - 1))) following from (
+      select *, f / 16 * c2 * (4 + f * (4 - 3 * c2)) c from (
+        select *, case when c2 = 0 then 0 else cs - 2 * sin(u1) * sin(u2) / c2 end cm from (
+          select *, 1 - sa * sa c2 from (
+            select *, case when ss = 0 then 0 else cos(u1) * cos(u2) * sin(lam) / ss end sa, atan2(ss, cs) sigma from (
+              select *, sqrt(pow(cos(u2) * sin(lam), 2) + pow(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam), 2)) ss, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) cs from it where moved >= 1e-12 and i < 60))))))),
+last as (select * from it qualify row_number() over (partition by id, osm_id order by i desc) = 1),
+v as (select id, osm_id, ss, cs, sigma, case when c2 = 0 then 0 else cs - 2 * sin(u1) * sin(u2) / c2 end cm, c2 * (1 / pow(1 - f, 2) - 1) u, (1 - f) * (select a from k) b from (select *, 1 - pow(case when ss = 0 then 0 else cos(u1) * cos(u2) * sin(lam) / ss end, 2) c2, atan2(ss, cs) sigma from (select *, sqrt(pow(cos(u2) * sin(lam), 2) + pow(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam), 2)) ss, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) cs from last))),
+w as (select *, 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u))) aa, u / 1024 * (256 + u * (-128 + u * (74 - 47 * u))) bb from v)
+select id as point_id, osm_id as target_id, round(b * aa * (sigma - bb * ss * (cm + bb / 4 * (cs * (2 * cm * cm - 1) - bb / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))), 2) as geodesic_m from w"""
+
+
+@plans.query(_GEODESIC_SQL)
 def geodesic_inverse(spark: SparkSession, folder: str) -> DataFrame:
     """Distance on the spheroid from each cooperative to its nearest market."""
     near = _to_market(spark, folder).drop("distance_m")

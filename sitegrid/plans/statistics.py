@@ -40,12 +40,22 @@ def spearman_zero_inflated(spark: SparkSession, folder: str) -> DataFrame:
     return stats.spearman(villages(spark, folder, "transaction_value", "savings_total_amount"), "transaction_value", "savings_total_amount")
 
 
-@plans.query()
+_DRIVERS = ("scored_share", "healthy_count", "unhealthy_count", "average_health_index")
+# the two-sided p of Student's t with a whole number of degrees of freedom is a finite sum in the cosine of its angle
+_DRIVERS_SQL = f"""with h as (select distinct * from health_index_by_province), long as ({' union all '.join(f"select '{d}' driver, {d}::double x, health_score::double y from h where {d} is not null and health_score is not null" for d in _DRIVERS)}),
+ranked as (select driver, rank() over (partition by driver order by x) + (count(*) over (partition by driver, x) - 1) / 2.0 rx, rank() over (partition by driver order by y) + (count(*) over (partition by driver, y) - 1) / 2.0 ry from long),
+r as (select driver, round(corr(rx, ry), 6) rho, count(*) n from ranked group by 1), f as (select *, n - 2 as df, 1 - rho * rho as c2 from r),
+j as (select driver, unnest(range(1, (df - 2 - df % 2) // 2 + 1)) j, df, c2 from f), t as (select driver, exp(sum(ln(c2 * case when df % 2 = 1 then 2 * j / (2 * j + 1.0) else (2 * j - 1) / (2.0 * j) end)) over (partition by driver order by j)) t from j),
+s as (select driver, sum(t) s from t group by 1)
+select driver, rho, n, round(case when abs(rho) >= 1 then 0 when df % 2 = 1 then 1 - 2 / pi() * (asin(abs(rho)) + abs(rho) * sqrt(c2) * (1 + coalesce(s, 0))) else 1 - abs(rho) * (1 + coalesce(s, 0)) end, 6) + 0.0 as p from f left join s using (driver)"""
+
+
+@plans.query(_DRIVERS_SQL)
 def spearman_drivers(spark: SparkSession, folder: str) -> DataFrame:
     """Rank correlation of each driver with the province's score, with its two-sided p."""
     h = table(spark, folder, "health_index_by_province").distinct()
     out = None
-    for driver in ("scored_share", "healthy_count", "unhealthy_count", "average_health_index"):
+    for driver in _DRIVERS:
         one = stats.spearman(h, driver, "health_score").select(F.lit(driver).alias("driver"), "rho", "n", F.round(stats.spearman_p("rho", "n"), 6).alias("p"))
         out = one if out is None else out.unionByName(one)
     return out
