@@ -21,7 +21,7 @@ from sitegrid.plans.spatial import POINTS_SQL, coops, in_cells, markets
 from sitegrid.plans.statistics import _REDRAW_SQL, NEAR, _redraws
 from sitegrid.plans.texts import _FIGURES_SQL, _corrections, _links, figures
 from sitegrid.session import shared_folder
-from sitegrid.sources import files, geopackage, sinks
+from sitegrid.sources import files, geopackage, osm, sinks
 from sitegrid.sources.tables import table
 
 plans = Plans()
@@ -297,6 +297,39 @@ def geopackage_window(spark: SparkSession, folder: str) -> DataFrame:
     return geopackage.read_geopackage(spark, _layer(spark, folder), "landuse", {"osm_id": "bigint"}, "geom", box=(100.0, -6.0, 120.0, 2.0), chunk=500).select("osm_id")
 
 
+_OSM_SQL = "w as (select osm_id, lower(trim(class)) as class, ring from (select distinct osm_id, class, ring from landuse_features where osm_type = 'way' and len(ring) > 2 and class is not null) qualify row_number() over (partition by osm_id order by class, ring) = 1)"
+
+
+def _extract(spark: SparkSession, folder: str) -> DataFrame:
+    """The ways of the land use table as an extract: each vertex is a node, each way has its class as a tag."""
+    w = table(spark, folder, "landuse_features").where((F.col("osm_type") == "way") & (F.size("ring") > 2) & F.col("class").isNotNull()).select("osm_id", "class", "ring").distinct()
+    w = w.groupBy("osm_id").agg(F.min(F.struct("class", "ring")).alias("b")).select("osm_id", F.lower(F.trim("b.class")).alias("class"), "b.ring")
+    node = lambda i: F.col("osm_id") * 10_000 + i
+    road = F.get(F.array(*[F.lit(r) for r in osm.ROADS]), (F.col("osm_id") % 20).cast("int"))
+    tags = F.map_filter(F.create_map(F.lit("landuse"), F.col("class"), F.lit("highway"), road), lambda _, v: v.isNotNull())
+    ways = w.select(F.lit("way").alias("kind"), F.col("osm_id").alias("id"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), tags.alias("tags"), F.transform(F.sequence(F.lit(0), F.size("ring") - 1), node).alias("refs"))
+    nodes = w.select("osm_id", F.posexplode("ring").alias("i", "p")).select(F.lit("node").alias("kind"), node(F.col("i")).alias("id"), F.col("p.y").alias("lat"), F.col("p.x").alias("lon"), F.create_map().cast("map<string, string>").alias("tags"), F.lit(None).cast("array<bigint>").alias("refs"))
+    path = f"{_local(shared_folder(spark))}/extract-{uuid.uuid4().hex}.osm.pbf"
+    osm.write_osm(nodes.unionByName(ways), path)
+    return osm.read_osm(spark, path)
+
+
+@plans.query(f"with {_OSM_SQL} select osm_id as id, class, len(ring)::integer as n_points, round(list_sum(list_transform(ring, lambda p: round(p.x * 10000000))) / 10000000, 5) as sum_x, round(list_sum(list_transform(ring, lambda p: round(p.y * 10000000))) / 10000000, 5) as sum_y from w where class in ('cemetery', 'farmland', 'residential', 'forest')")
+def osm_areas(spark: SparkSession, folder: str) -> DataFrame:
+    """Ways of some classes from an extract, assembled from their nodes."""
+    e = _extract(spark, folder)
+    ways = e.where((F.col("kind") == "way") & F.col("tags")["landuse"].isin("cemetery", "farmland", "residential", "forest"))
+    total = lambda axis: F.round(F.aggregate("ring", F.lit(0.0), lambda s, p: s + F.round(p[axis] * 10_000_000)) / 10_000_000, 5)
+    return osm.lines(e, ways).select("id", F.col("tags")["landuse"].alias("class"), F.size("ring").alias("n_points"), total("x").alias("sum_x"), total("y").alias("sum_y"))
+
+
+@plans.query(f"with {_OSM_SQL}, r as (select {osm.ROADS}[1 + osm_id % 20] as highway from w) select highway, count(*) as n from r where highway is not null group by 1")
+def osm_roads(spark: SparkSession, folder: str) -> DataFrame:
+    """Roads of an extract by class: ways with one of the sixteen classes."""
+    highway = F.col("tags")["highway"]
+    return _extract(spark, folder).where((F.col("kind") == "way") & highway.isin(osm.ROADS)).groupBy(highway.alias("highway")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @plans.query("select s_suppkey, s_acctbal, true as zstd from supplier")
 def zstd_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     path = _place(spark, "zstd")

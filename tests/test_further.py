@@ -10,7 +10,7 @@ from sitegrid.functions import text as X
 from sitegrid.functions.similarity import block_bound, block_similarity
 from sitegrid.operators.order import aligned, numbered, resolved_names
 from sitegrid.operators.tiles import Sampler, window_class, window_relief
-from sitegrid.sources import files, geopackage
+from sitegrid.sources import files, geopackage, osm
 
 
 def test_numbered_rows_of_many_parts(spark):
@@ -97,3 +97,33 @@ def test_only_the_wanted_fields_of_a_struct_are_read(spark, folder, capfd):
 
     plan = plans.queries()["nested_projection"](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "bbox:struct<xmin:double,ymin:double>" in plan and "other" not in plan.split("ReadSchema")[-1] and "GreaterThan(bbox.ymin" in plan
+
+
+def test_blocks_of_extracts_give_their_elements_again():
+    rng = random.Random(5)
+    rows = [{"kind": "node", "id": rng.randrange(1 << 40), "lat": rng.randrange(-900_000_000, 900_000_000) / 1e7, "lon": rng.randrange(-1_800_000_000, 1_800_000_000) / 1e7, "tags": [("name", f"é{i}")] * (i % 3 == 0), "refs": None} for i in range(50)]
+    rows += [{"kind": "way", "id": 7 + i, "lat": None, "lon": None, "tags": [("highway", "track"), ("x", "")][: i % 3], "refs": [rng.randrange(1 << 35) for _ in range(i)]} for i in range(6)]
+    got = list(osm.elements(osm.block_of(rows)))
+    for a, b in zip(got, rows, strict=True):
+        assert (a["kind"], a["id"], a["tags"], a["refs"]) == (b["kind"], b["id"], b["tags"], b["refs"])
+        assert a["lat"] is None or abs(a["lat"] - b["lat"]) < 1e-9 and abs(a["lon"] - b["lon"]) < 1e-9
+
+
+def test_ways_meet_their_nodes(spark, tmp_path):
+    nodes = [("node", i, float(i), -float(i), {"k": "v"} if i == 2 else {}, None) for i in range(5)]
+    ways = [("way", 10, None, None, {"building": "yes"}, [0, 1, 2, 0]), ("way", 11, None, None, {"highway": "track"}, [3, 4, 77]), ("way", 12, None, None, {}, [])]
+    df = spark.createDataFrame(nodes + ways, osm.SCHEMA)
+    path = str(tmp_path / "x.osm.pbf")
+    osm.write_osm(df, path)
+    read = osm.read_osm(spark, path)
+    assert read.count() == 8 and read.where(F.col("tags")["k"] == "v").count() == 1
+    got = {r["id"]: ([tuple(p) for p in r["ring"]], r["closed"]) for r in osm.lines(read, read.where("kind = 'way'")).collect()}
+    assert got == {10: ([(0.0, 0.0), (-1.0, 1.0), (-2.0, 2.0), (0.0, 0.0)], True), 11: ([(-3.0, 3.0), (-4.0, 4.0)], False)}
+    osm.write_osm(df.limit(0), path)
+    assert osm.read_osm(spark, path).count() == 0
+
+
+def test_a_layer_of_no_rows(spark, tmp_path):
+    path = str(tmp_path / "none.gpkg")
+    geopackage.write_geopackage(spark.createDataFrame([], "id long, kind string, ring array<struct<x: double, y: double>>"), path, "places")
+    assert geopackage.read_geopackage(spark, path, "places", {"id": "bigint"}, "geom").count() == 0
