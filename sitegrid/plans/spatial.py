@@ -280,9 +280,31 @@ def polygon_quality(spark: SparkSession, folder: str) -> DataFrame:
     return q.withColumn("n_points", F.col("n_points").cast("bigint"))
 
 
-@plans.query()
+# each part of a ring is cut at its farthest vertex until none is farther than the tolerance; a ring starts as two parts
+_SIMPLE_SQL = """with recursive rg as (select row_number() over () n, osm_id, ring from (select distinct osm_id, lower(class) class, ring from landuse_features where osm_type in ('way', 'relation') and len(ring) > 2)),
+op as (select n, osm_id, ring, unnest(range(1, len(ring) + 1)) i from rg), p0 as (select n, osm_id, i, ring[i].x x, ring[i].y y from op),
+pt as (select * from p0 union all select n, osm_id, len(ring) + 1, ring[1].x, ring[1].y from rg where ring[1].x <> ring[len(ring)].x or ring[1].y <> ring[len(ring)].y),
+ends as (select n, max(i) z, arg_min(x, i) x1, arg_min(y, i) y1 from pt group by 1),
+half as (select pt.n, i h, z from pt join ends using (n) qualify row_number() over (partition by pt.n order by sqrt(pow(x - x1, 2) + pow(y - y1, 2)) desc, i) = 1),
+seg(n, a, b) as (
+  select n, unnest([1, h]), unnest([h, z]) from half
+  union all
+  select n, unnest([a, i]), unnest([i, b]) from (
+    select n, a, b, arg_min(i, i) filter (where away = most) i from (
+      select *, max(away) over (partition by n, a, b) most from (
+        select s.n, s.a, s.b, p.i, case when f.x = t.x and f.y = t.y then sqrt(pow(p.x - f.x, 2) + pow(p.y - f.y, 2)) else abs((t.x - f.x) * (p.y - f.y) - (t.y - f.y) * (p.x - f.x)) / sqrt(pow(t.x - f.x, 2) + pow(t.y - f.y, 2)) end away
+        from seg s join pt p on p.n = s.n and p.i > s.a and p.i < s.b join pt f on f.n = s.n and f.i = s.a join pt t on t.n = s.n and t.i = s.b))
+    where most > 0.0002 group by 1, 2, 3)),
+kept as (select distinct n, i from (select n, a i from seg union all select n, b from seg))
+select osm_id as region_id, count(*)::integer as n_points, sum(cast(round(x * 10000000) as bigint))::bigint as x_e7, sum(cast(round(y * 10000000) as bigint))::bigint as y_e7 from kept join pt using (n, i) group by n, osm_id having count(*) >= 4"""
+
+
+@plans.query(_SIMPLE_SQL)
 def polygon_simplify(spark: SparkSession, folder: str) -> DataFrame:
-    return polygons.simplified(regions(spark, folder).select("region_id", "ring"), 0.0002)
+    """Rings with fewer points: how many are left, and the sums of their coordinates in ten-millionths of a degree."""
+    total = lambda axis: F.aggregate("ring", F.lit(0).cast("bigint"), lambda s, p: s + F.round(p[axis] * 10_000_000).cast("bigint"))
+    simple = polygons.simplified(regions(spark, folder).select("region_id", "ring"), 0.0002, digits=9)
+    return simple.select("region_id", F.size("ring").alias("n_points"), total("x").alias("x_e7"), total("y").alias("y_e7"))
 
 
 @plans.query(f"""with {_NN_SQL}, r as (select pt.id, min(greatest(abs(mk.x - pt.x), abs(mk.y - pt.y))) k from pt, mk group by 1), e as (select k * {RING_KM} * 1000 - m as e from r join nn using (id) where k <= {CAP})
