@@ -23,6 +23,14 @@ def same_keys(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "
     return left.join(renamed, condition, how).drop(*[f"__right_{c}" for c in on])
 
 
+def part_of(value: Column, cuts: Sequence[float], first: int = 0) -> Column:
+    """How many of the sorted cuts a value reaches, as a tree of comparisons."""
+    if not cuts:
+        return F.lit(first)
+    middle = len(cuts) // 2
+    return F.when(value < F.lit(cuts[middle]), part_of(value, cuts[:middle], first)).otherwise(part_of(value, cuts[middle + 1 :], first + middle + 1))
+
+
 def quantiles(df: DataFrame, by: Sequence[str], values: Mapping[str, Column], qs: Sequence[float], nearest: bool = False) -> DataFrame:
     """``by..., measure, q, value, n``: exact quantiles of the non-null values of each measure in each group.
 
@@ -39,7 +47,7 @@ def quantiles(df: DataFrame, by: Sequence[str], values: Mapping[str, Column], qs
     part = F.lit(0)
     for m in names:
         if cuts.get(m):
-            part = F.when(F.col("__m") == m, F.size(F.filter(F.array(*[F.lit(c) for c in cuts[m]]), lambda c: c <= F.col("__v")))).otherwise(part)
+            part = F.when(F.col("__m") == m, part_of(F.col("__v"), cuts[m])).otherwise(part)
     keys = [*by, "__m"]
     parted = counts.withColumn("__part", part)
     sums = parted.groupBy(*keys, "__part").agg(F.sum("__n").alias("__s"))

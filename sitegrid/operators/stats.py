@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitegrid.operators.ranks import quantiles, with_quantiles
+from sitegrid.operators.ranks import part_of, quantiles, with_quantiles
 from sitegrid.operators.skew import skew_join
 
 #: Parts of the order in which running totals are taken side by side.
@@ -25,8 +25,7 @@ def running_total(df: DataFrame, by: list[str], order: str, value: str, name: st
     No window spans a group: quantiles of ``order`` cut it into parts, whose sums are added up first.
     """
     cuts = sorted(set(df.stat.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01))) if dict(df.dtypes)[order] not in ("string", "boolean") else []
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(order))) if cuts else F.lit(0)
-    cut = df.withColumn("__part", part)
+    cut = df.withColumn("__part", part_of(F.col(order), cuts))
     sums = cut.groupBy(*by, "__part").agg(F.sum(value).alias("__s"))
     before = sums.select(*by, "__part", (F.sum("__s").over(Window.partitionBy(*by).orderBy("__part")) - F.col("__s")).alias("__before"))
     inside = F.sum(value).over(Window.partitionBy(*by, "__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(value)
