@@ -12,7 +12,8 @@ from sitegrid.session import dropped, written
 
 #: Shares of all rows in the bands from the top, each twice the one before, and the rest.
 BANDS = 6
-#: Parts into which a group's rows of a band are cut before they are ranked exactly.
+#: Parts into which a group's rows of a band are cut before they are ranked exactly. Every task keeps n rows of a group and
+#: part before it sends them (a limit pushed into the window), so a part is n rows per task however large the group is.
 SALTS = 32
 
 
